@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import packing, token_counts
+from docketry.llm import decontamination, packing, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
