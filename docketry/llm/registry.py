@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontamination, packing, secrets, simhash, token_counts
+from docketry.llm import decontamination, langid, packing, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op7_language_id": langid.op7_language_id,
     "op8_secrets": secrets.op8_secrets,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
