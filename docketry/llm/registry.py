@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontamination, langid, packing, secrets, simhash, token_counts, toxicity
+from docketry.llm import decontamination, langid, packing, pii, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_secrets": secrets.op8_secrets,
