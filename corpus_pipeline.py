@@ -1,11 +1,56 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, secret scan, packing."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secret scan, packing.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir), docs being all rows that its predecessor kept, and all but
+the last return the columns of documents. Between stages rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.llm import common, decontamination, langid, packing, secrets, simhash
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a network, trained on those that have one marked, tells with a probability of a half or more.
+    Null texts and texts without a letter go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates; rows without an id stay."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten-word window of the benchmark."""
+    return decontamination.remove_documents(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", identified), ("near-duplicates", one_of_each), ("decontamination", decontaminated), ("secret scan", without_secrets), ("packing", packed)]
+#: The networks, fingerprints and token ids have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.written(docs, name.replace(" ", "-"))
+    return docs

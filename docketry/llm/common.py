@@ -58,6 +58,21 @@ def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df, with all columns, for which keep (of a block's texts, null ones as empty) is true. Narrow."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.compute.fill_null(batch.column(place).cast(pa.large_string()), "")], ["text"])
+            at = 0
+            for block in blocks([texts], limit):
+                yield batch.slice(at, block.num_rows).filter(pa.array(keep(block.column("text")), pa.bool_()))
+                at += block.num_rows
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_rest(id_col: Column, by: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(id_col.cast("string").cast("binary")) % by

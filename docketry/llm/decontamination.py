@@ -167,6 +167,50 @@ def scan(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc
     return rows
 
 
+def remove_documents(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of df, with all columns, that hold no window of the test set: one narrow pass for each part of it."""
+    for items in parts(benchmark, item_col, item_text):
+        windows = Windows(items, size)
+
+        def keep(texts: pa.Array, windows: Windows = windows) -> np.ndarray:
+            _, _, bounds, hit, _, _ = windows.scan(*common.buffers(texts))
+            total = np.r_[0, np.cumsum(hit)]
+            return total[bounds[1:]] == total[bounds[:-1]]
+
+        df = common.keep_rows(df, text_col, keep)
+    return df
+
+
+def remove_spans(df: DataFrame, benchmark: DataFrame, mark: str = " ", size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of df, with all columns, every run of hit words replaced by a mark; null texts stay null. One pass for each part."""
+    place = df.columns.index(text_col)
+    for items in parts(benchmark, item_col, item_text):
+        windows = Windows(items, size)
+
+        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(place).cast(pa.string()), "")], ["text"])
+                done: list[str | None] = []
+                for block in common.blocks([texts]):
+                    data, offsets = common.buffers(block.column("text"))
+                    begin, end, bounds, hit, _, _ = windows.scan(data, offsets)
+                    out = block.column("text").to_pylist()
+                    total = np.r_[0, np.cumsum(hit)]
+                    for k in np.flatnonzero(total[bounds[1:]] > total[bounds[:-1]]).tolist():
+                        own = np.r_[False, hit[bounds[k] : bounds[k + 1]], False]
+                        edge, raw, left, at = np.flatnonzero(own[1:] != own[:-1]), data[offsets[k] : offsets[k + 1]].tobytes(), [], 0
+                        for a, b in zip((begin[bounds[k] + edge[::2]] - offsets[k]).tolist(), (end[bounds[k] + edge[1::2] - 1] - offsets[k]).tolist()):
+                            left += [raw[at:a], mark.encode()]
+                            at = b
+                        out[k] = b"".join([*left, raw[at:]]).decode("utf-8")
+                    done += out
+                column = pc.if_else(batch.column(place).is_valid(), pa.array(done, pa.string()), pa.scalar(None, pa.string()))
+                yield batch.set_column(place, batch.schema.field(place).with_type(pa.string()), column)
+
+        df = df.mapInArrow(run, df.schema)
+    return df
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

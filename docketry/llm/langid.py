@@ -175,6 +175,16 @@ def identify(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_co
     return common.two_columns(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, net: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all columns, whose language is told with at least this probability (never `und`)."""
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        best, score = net.texts(*common.buffers(texts)) if net else (np.full(len(texts), -1), np.zeros(len(texts)))
+        return (best >= 0) & (score >= least)
+
+    return common.keep_rows(df, text_col, keep, 1 << 20)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     rest = lambda c: F.coalesce(common.crc_rest(F.col(c), 4) == 2, F.lit(False))

@@ -82,7 +82,7 @@ def samples(df: DataFrame) -> DataFrame:
     rule from hashes in the usual alphabets; others: the remaining words of those documents, alone and joined as identifiers are."""
     spark = df.sparkSession
     chosen = df.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    docs = base_spans(df.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    docs = base_spans(common.written(df.join(F.broadcast(chosen), "doc_id", "left_semi"), "secret-samples"))
     hits = docs.select(F.explode(F.concat("assign", "access", "hex")).alias("x")).select(F.regexp_extract(F.col("x.hit"), "([A-Za-z0-9+/_-]{16,})[^A-Za-z0-9+/_-]*$", 1).alias("token")).where("token != ''")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0))
@@ -130,16 +130,19 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; other columns are not read. Narrow but for the fit: no shuffle of texts, no Python.
     """
     docs = common.two_columns(df, id_col, text_col)
-    table = table or fit(samples(docs))
+    return with_markov(base_spans(docs), table or fit(samples(docs)))
+
+
+def with_markov(found: DataFrame, table: list[float]) -> DataFrame:
+    """Rows of base_spans with the array markov: long tokens, clear of the base spans, that look random."""
     text = F.col("text")
-    found = base_spans(docs)
     base = F.concat("assign", "access", "hex")
     token = spans_of(text, CANDIDATE, 3, text.rlike("[A-Za-z0-9+/_-]{20}"))
     clear = lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     return found.withColumn("markov", F.filter(F.filter(token, clear), lambda x: ratio(x["hit"], table) >= THRESHOLD))
 
 
-def redacted(found: DataFrame, mark: str = "[REDACTED]") -> Column:
+def redacted(mark: str = "[REDACTED]") -> Column:
     """The text of a row of find_secrets with every span, overlapping ones as one, replaced by a mark."""
     spans = F.array_sort(F.concat("assign", "access", "hex", "markov"))
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -152,6 +155,15 @@ def redacted(found: DataFrame, mark: str = "[REDACTED]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, rest)).otherwise(F.col("text"))
 
 
+def redact(df: DataFrame, mark: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", table: list[float] | None = None) -> DataFrame:
+    """The rows of df, with all columns, every secret in the text replaced by a mark; null texts stay null. No Python."""
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table = table or fit(samples(common.two_columns(df, id_col, text_col)))
+    found = with_markov(base_spans(row), table)
+    new = F.when(F.col(f"row.`{text_col}`").isNotNull(), redacted(mark))
+    return found.withColumn("new", new).select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
+
+
 NAMES = ["assign", "access", "hex", "markov"]
 
 

@@ -92,7 +92,7 @@ def variants(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b) of distinct fingerprints: every pair that differs in at most `bits` bits is in one component of these links."""
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    index = variants(prints)
+    index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     groups = common.written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     pairs = groups.where("n = 2").where(near).select("a", "b")
     met = common.written(index.join(groups.where("n > 2").select("key", "n"), "key"), "met")
@@ -123,6 +123,14 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str =
     return docs.join(nodes.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all columns, less those that aren't the one with the smallest id of their component; rows with a
+    null id stay, and rows that share an id stay or go together."""
+    found = near_duplicates(df, words, bits, id_col, text_col)
+    gone = common.written(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
