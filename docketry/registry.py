@@ -1,7 +1,576 @@
-"""All queries of the engine and their DuckDB oracles, by name."""
+"""All queries of the engine and their DuckDB oracles, by name.
+
+Search and vector queries run on `documents` and `embeddings`, catalog queries on the star-schema tables, and extraction queries
+on the corpus that docketry.plans.corpus makes of them, where the oracle reads the source columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.functions import frontmatter as FM
+from docketry.functions import text as T
+from docketry.functions import vector as V
+from docketry.operators import catalog, citations, fts, fusion, knn, persons, segments
+from docketry.plans import corpus, indexing
+from docketry.plans.corpus import SYLLABLES, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+
+
+def query(sql: str | None = None):
+    """Registers a query by its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(c):
+    return F.round(c, 6)
+
+
+# ---- full text ---------------------------------------------------------------------------------------------------------------
+
+TOKENS = r"""tok AS MATERIALIZED (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+cor AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tok)"""
+
+
+def bm25_sql(hits: list[str], absent: str = "", where: str = "true", limit: int = 100) -> str:
+    """BM25 of terms given as SQL counts of their hits in the word list w."""
+    counts = ", ".join(f"{h} AS f{k}" for k, h in enumerate(hits))
+    dfs = ", ".join(f"sum((f{k} > 0)::INT) AS d{k}" for k in range(len(hits)))
+    part = lambda k: f"(CASE WHEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) > 0 THEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) ELSE 1e-6 END) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / a))"
+    need = " AND ".join(f"f{k} > 0" for k in range(len(hits)))
+    return f"""WITH {TOKENS}, cnt AS (SELECT doc_id, lang, len(w) AS dl, {counts}, {absent or '0'} AS x FROM tok), dfs AS (SELECT {dfs} FROM cnt),
+sc AS (SELECT doc_id, {' + '.join(map(part, range(len(hits))))} AS s FROM cnt, dfs, cor WHERE {need} AND x = 0 AND {where} ORDER BY s DESC, doc_id LIMIT {limit})
+SELECT doc_id, round(s, 6) AS bm25, round(s / (1 + s), 6) AS score FROM sc"""
+
+
+def one(word: str) -> str:
+    return f"len(list_filter(w, lambda x: x = '{word}'))"
+
+
+def searched(spark: SparkSession, sf_dir: str, text: str, **more) -> DataFrame:
+    return fts.search(read(spark, sf_dir, "documents"), text, "doc_id", {"text": 1.0}, **more).select("doc_id", six("bm25").alias("bm25"), six("score").alias("score"))
+
+
+@query(bm25_sql([one("thing"), one("than")]))
+def bm25_search(spark, sf_dir):
+    return searched(spark, sf_dir, "thing than")
+
+
+@query(bm25_sql(["len(list_filter(w, lambda x: starts_with(x, 'worth')))"]))
+def bm25_prefix(spark, sf_dir):
+    return searched(spark, sf_dir, "worth*")
+
+
+@query(bm25_sql(["len(list_filter(list_zip(w[:-2], w[2:]), lambda x: x[1] = 'of' AND x[2] = 'the'))"]))
+def bm25_phrase(spark, sf_dir):
+    return searched(spark, sf_dir, "of-the")
+
+
+@query(bm25_sql([one("idiot")], absent=one("clown")))
+def bm25_not(spark, sf_dir):
+    return searched(spark, sf_dir, "idiot -clown")
+
+
+@query(bm25_sql([one("die")], where="lang = 'de'"))
+def bm25_in_collection(spark, sf_dir):
+    return searched(spark, sf_dir, "die", where=F.col("lang") == "de")
+
+
+@query(r"""SELECT t AS term, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(p)::BIGINT AS positions FROM
+(SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)) GROUP BY t""")
+def postings(spark, sf_dir):
+    p = fts.postings(read(spark, sf_dir, "documents"), "doc_id", ("text",))
+    return p.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum("pos").alias("positions"))
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    return searched(spark, sf_dir, "things", stem=True)
+
+
+# ---- vectors -----------------------------------------------------------------------------------------------------------------
+
+QUERY = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    e = read(spark, sf_dir, "embeddings")
+    return e, list(e.where("vec_id = 7").select("embedding").first()[0])
+
+
+def knn_sql(f: str, where: str = "true", within: str = "true", k: int = 10) -> str:
+    return f"SELECT vec_id, round(dist, 6) AS dist FROM (SELECT vec_id, {f}(embedding::DOUBLE[], {QUERY}) AS dist FROM embeddings WHERE {where}) WHERE {within} ORDER BY dist, vec_id LIMIT {k}"
+
+
+
+def near(spark, sf_dir, metric="l2", **more):
+    e, q = asked(spark, sf_dir)
+    return knn.flat(e, q, 10, metric, **more).select("vec_id", six("dist").alias("dist"))
+
+
+@query(knn_sql("list_distance"))
+def knn_l2(spark, sf_dir):
+    return near(spark, sf_dir)
+
+
+@query(knn_sql("list_cosine_distance"))
+def knn_cosine(spark, sf_dir):
+    return near(spark, sf_dir, "cosine")
+
+
+@query(f"SELECT vec_id, round(dist, 6) AS dist FROM (SELECT vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], {QUERY}), lambda x: abs(x[1] - x[2]))) AS dist FROM embeddings) ORDER BY dist, vec_id LIMIT 10")
+def knn_l1(spark, sf_dir):
+    return near(spark, sf_dir, "l1")
+
+
+@query(knn_sql("list_distance", "label < 4"))
+def knn_filtered(spark, sf_dir):
+    return near(spark, sf_dir, where=F.col("label") < 4)
+
+
+@query(f"SELECT label, vec_id, round(dist, 6) AS dist, rank::INT AS rank FROM (SELECT label, vec_id, dist, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rank FROM (SELECT label, vec_id, list_distance(embedding::DOUBLE[], {QUERY}) AS dist FROM embeddings)) WHERE rank <= 3")
+def knn_partition(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    return knn.by_partition(e, q, 3, ["label"]).select("label", "vec_id", six("dist").alias("dist"), "rank")
+
+
+@query(knn_sql("list_distance", within="dist > 1.0 AND dist <= 1.35"))
+def knn_distance_range(spark, sf_dir):
+    return near(spark, sf_dir, within=(F.col("dist") > 1.0) & (F.col("dist") <= 1.35))
+
+
+@query(knn_sql("list_distance", "vec_id IN (1, 7, 30, 31, 99, 250, 444)"))
+def knn_rowid_in(spark, sf_dir):
+    return near(spark, sf_dir, where=F.col("vec_id").isin(1, 7, 30, 31, 99, 250, 444))
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding, list_sum(list_transform(list_zip(embedding, {QUERY}), lambda x: ((x[1] >= 0) != (x[2] >= 0))::INT)) AS h FROM embeddings ORDER BY h, vec_id LIMIT 80)
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], {QUERY}), 6) AS dist FROM c ORDER BY list_distance(embedding::DOUBLE[], {QUERY}), vec_id LIMIT 10""")
+def rescore_knn(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    return knn.rescore(e, q, 10).select("vec_id", six("dist").alias("dist"))
+
+
+@query()
+def rescore_knn_int8(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    return knn.rescore(e, q, 10, quantizer="int8").select("vec_id", six("dist").alias("dist"))
+
+
+def element(c: str, at: int = 3):
+    return F.element_at(c, at)
+
+
+@query(f"SELECT vec_id, round(embedding[3]::DOUBLE + {QUERY}[3], 6) AS added, round(embedding[3]::DOUBLE - {QUERY}[3], 6) AS subbed FROM embeddings")
+def vec_add_sub(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    both = e.select("vec_id", V.vec_add(F.col("embedding"), knn.literal(q)).alias("a"), V.vec_sub(F.col("embedding"), knn.literal(q)).alias("s"))
+    return both.select("vec_id", six(element("a")).alias("added"), six(element("s")).alias("subbed"))
+
+
+@query("SELECT vec_id, len(embedding[3:6])::INT AS n, round(list_sum(embedding[3:6]::DOUBLE[]), 6) AS total FROM embeddings")
+def vec_slice(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", V.vec_slice(F.col("embedding"), 2, 6).alias("v"))
+    return e.select("vec_id", F.size("v").alias("n"), six(V.total(F.col("v").cast("array<double>"))).alias("total"))
+
+
+@query("SELECT vec_id, round(embedding[3]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS third FROM embeddings")
+def vec_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", six(element(V.vec_normalize(F.col("embedding")))).alias("third"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n, 'float32' AS kind FROM embeddings")
+def vec_length_type(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", V.vec_length(F.col("embedding")).alias("n"), V.vec_type(dict(e.dtypes)["embedding"]).alias("kind"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x: least(greatest(trunc((x + 1.0) / (2.0 / 255.0) - 128.0), -128), 127)))::BIGINT AS total FROM embeddings")
+def quantize_int8(spark, sf_dir):
+    v = V.vec_quantize_int8(F.col("embedding"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(list_zip(embedding, generate_series(0, 63)), lambda x: CASE WHEN x[1] > 0 AND x[2] < 8 THEN 2 ** x[2] ELSE 0 END))::BIGINT AS first_byte, list_sum(list_transform(embedding, lambda x: (x > 0)::INT))::INT AS ones FROM embeddings")
+def quantize_binary(spark, sf_dir):
+    b = read(spark, sf_dir, "embeddings").select("vec_id", F.hex(V.vec_quantize_binary(F.col("embedding"))).alias("h"))
+    return b.select("vec_id", F.conv(F.substring("h", 1, 2), 16, 10).cast("long").alias("first_byte"), F.bit_count(F.conv("h", 16, -10).cast("long")).alias("ones"))
+
+
+@query(f"SELECT vec_id, list_sum(list_transform(list_zip(embedding, {QUERY}), lambda x: ((x[1] > 0) != (x[2] > 0))::INT))::INT AS dist FROM embeddings")
+def hamming(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    return e.select("vec_id", knn.distance(F.col("embedding"), q, "hamming").alias("dist"))
+
+
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS rowid, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings WHERE vec_id < 20")
+def vec_each(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").where("vec_id < 20")
+    return e.select("vec_id", F.posexplode("embedding").alias("rowid", "value")).select("vec_id", "rowid", six(F.col("value").cast("double")).alias("value"))
+
+
+@query("SELECT vec_id, '[' || list_aggregate(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), 'string_agg', ',') || ']' AS json FROM embeddings")
+def vec_to_json(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", V.vec_to_json(F.col("embedding")).alias("json"))
+
+
+FNV = """list_reduce(list_prepend(40389, list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda h, c: ((h + c) * 403) % 65536)"""
+
+
+@query(f"""WITH b AS (SELECT item_id, 'passage: ' || text AS t FROM benchmark WHERE length(text) < 1500 AND text NOT LIKE '%  %'),
+v AS (SELECT item_id, {FNV} AS h FROM (SELECT item_id, regexp_replace(trim(regexp_replace(t, '[ \\n\\t\\r]+', ' ', 'g')), '^$', '') AS t FROM b)),
+r AS (SELECT item_id, list_transform(range(0, 384), lambda i: ((h + i) * 403) % 65536 / 65535.0 - 0.5) AS e FROM v)
+SELECT item_id, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS first, round(e[384] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS last FROM r""")
+def fnv_embed(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").where("length(text) < 1500 AND text NOT LIKE '%  %'")
+    e = b.select("item_id", V.fnv_embed(T.passage(F.col("text"))).alias("e"))
+    return e.select("item_id", six(element("e", 1)).alias("first"), six(element("e", 384)).alias("last"))
+
+
+@query(f"""SELECT label AS id, round(max(1 / (1 + dist)), 6) AS score FROM (SELECT vec_id, label, list_distance(embedding::DOUBLE[], {QUERY}) AS dist FROM embeddings ORDER BY dist, vec_id LIMIT 200) GROUP BY label""")
+def best_chunk_per_doc(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    chunks = e.select("vec_id", F.col("label").alias("id"), "embedding")
+    return knn.best_chunk(knn.flat(chunks, q, 200), chunks).select("id", six("score").alias("score"))
+
+
+HYBRID = bm25_sql([one("thing"), one("than")]).replace("SELECT doc_id, round(s, 6) AS bm25, round(s / (1 + s), 6) AS score FROM sc", "")
+
+
+@query(HYBRID + f""", tr AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM sc),
+vh AS (SELECT vec_id AS doc_id, list_distance(embedding::DOUBLE[], {QUERY}) AS dist FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY dist, vec_id LIMIT 200),
+vr AS (SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS r FROM vh)
+SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM tr UNION ALL SELECT * FROM vr) GROUP BY doc_id) ORDER BY s DESC, doc_id LIMIT 20""")
+def hybrid_search(spark, sf_dir):
+    e, q = asked(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents")
+    chunks = e.withColumn("doc_id", F.col("vec_id")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return fusion.hybrid(docs, chunks, "thing than", q, 20, "doc_id", {"text": 1.0}).select("doc_id", six("score").alias("score"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
+b AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50)
+SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
+def rrf_fusion(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
+    lists = [fusion.ranks(o.orderBy(F.desc(c), "id").limit(50), c) for c in ("o_totalprice", "o_orderdate")]
+    return fusion.rrf(*lists).select("id", six("score").alias("score"))
+
+
+# ---- indexing ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return indexing.fingerprint(read(spark, sf_dir, "documents")).select("doc_id", "hash")
+
+
+@query("SELECT sha256(text) AS hash, min(length(text))::BIGINT AS n FROM documents GROUP BY 1")
+def dedup_content(spark, sf_dir):
+    return indexing.content(indexing.fingerprint(read(spark, sf_dir, "documents"))).select("hash", F.length("text").cast("long").alias("n"))
+
+
+def snapshots(spark, sf_dir):
+    """An index of four fifths of the documents, and the files after some were touched, changed or added."""
+    d = read(spark, sf_dir, "documents").select(F.lit("docs").alias("collection"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text", F.octet_length("text").cast("long").alias("size"))
+    old = indexing.fingerprint(d.where("doc_id % 5 != 0")).select("collection", "path", "size", F.lit(1).cast("long").alias("mtime"), "hash")
+    touched, changed = F.col("doc_id") % 7 == 0, F.col("doc_id") % 11 == 0
+    new = d.withColumn("text", F.when(changed, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return new.select("collection", "path", "doc_id", "text", F.octet_length("text").cast("long").alias("size"), F.when(touched, 2).otherwise(1).cast("long").alias("mtime")), old
+
+
+ACTIONS = """WITH old AS (SELECT doc_id, text, strlen(text) AS size FROM documents WHERE doc_id % 5 != 0),
+new AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS mtime FROM documents),
+act AS (SELECT n.doc_id, CASE WHEN o.doc_id IS NOT NULL AND strlen(n.text) = o.size AND n.mtime = 1 THEN 'skip' WHEN o.text = n.text THEN 'refresh'
+WHEN n.text IN (SELECT text FROM old) THEN 'reuse' ELSE 'add' END AS action FROM new n LEFT JOIN old o ON n.doc_id = o.doc_id)"""
+
+
+@query(ACTIONS + " SELECT doc_id, action FROM act")
+def incremental_diff(spark, sf_dir):
+    return indexing.changes(*snapshots(spark, sf_dir)).select("doc_id", "action")
+
+
+@query(ACTIONS + """ SELECT count(*) AS indexed, count(*) FILTER (action IN ('add', 'reuse')) AS added, count(*) FILTER (action = 'skip') AS skipped,
+count(*) FILTER (action = 'refresh') AS metadata_refreshed, count(*) FILTER (action != 'skip') AS rehashed FROM act""")
+def index_stats(spark, sf_dir):
+    return indexing.stats(indexing.changes(*snapshots(spark, sf_dir)))
+
+
+@query()
+def chunk_sizes(spark, sf_dir):
+    rows = indexing.fingerprint(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode(indexing.chunks_of(F.col("text").cast("binary"))).alias("seq", "chunk"))
+    return rows.select("doc_id", "seq", F.octet_length("chunk").alias("n"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS n FROM documents")
+def chunks_whole(spark, sf_dir):
+    return chunk_sizes(spark, sf_dir).groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+# ---- documents ---------------------------------------------------------------------------------------------------------------
+
+ARTICLES = "SELECT 'kr/법' || p_partkey || '/법률' AS id, unnest(generate_series(1, p_size % 5 + 1)) AS n, p_size % 5 + 1 AS total, p_name, p_partkey FROM part"
+
+
+@query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title, p_brand AS category, p_type || ',부' || p_size AS departments, '2020-01-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS promulgation_date, '시행' AS status FROM part")
+def frontmatter_project(spark, sf_dir):
+    h = corpus.laws(spark, sf_dir).withColumn("h", FM.parse_frontmatter(F.col("raw")))
+    s = lambda k: FM.scalar(F.col("h"), k)
+    return h.select("id", s("제목").alias("title"), s("법령구분").alias("category"), F.array_join(FM.values(F.col("h"), "소관부처"), ",").alias("departments"), s("공포일자").alias("promulgation_date"), s("상태").alias("status"))
+
+
+@query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title FROM part")
+def title_extract(spark, sf_dir):
+    return corpus.laws(spark, sf_dir).select("id", T.extract_title(F.col("raw")).alias("title"))
+
+
+@query(f"SELECT id, (n - 1)::INT AS idx, '제' || n || '조 (목적' || n || ')' AS label, (2 + 3 * (n - 1))::INT AS line_index FROM ({ARTICLES})")
+def articles(spark, sf_dir):
+    return segments.extract(corpus.laws(spark, sf_dir), "article").select("id", "idx", "label", "line_index")
+
+
+@query(f"SELECT id, (n - 1)::INT AS idx, '제' || n || '조 (목적' || n || ')' || chr(10) || p_name || ' 제' || n AS text FROM ({ARTICLES})")
+def article_text(spark, sf_dir):
+    return segments.extract(corpus.laws(spark, sf_dir), "article").select("id", "idx", "text")
+
+
+@query(f"""SELECT id, '법' || p_partkey || chr(10) || string_agg('제' || n || '조 (목적' || n || ')' || chr(10) || p_name || ' 제' || n, chr(10) ORDER BY n) AS text FROM ({ARTICLES}) GROUP BY id, p_partkey""")
+def full_text(spark, sf_dir):
+    return corpus.laws(spark, sf_dir).select("id", T.full_text(F.col("raw")).alias("text"))
+
+
+@query(f"SELECT id, max(n) FILTER (2 + 3 * (n - 1) <= 6)::INT AS article FROM ({ARTICLES}) GROUP BY id")
+def asof_article(spark, sf_dir):
+    docs = corpus.laws(spark, sf_dir)
+    found = segments.at_line(segments.extract(docs, "article"), docs.select("id", F.lit(6).alias("line")))
+    return found.select("id", F.regexp_extract("label", "제([0-9]+)조", 1).cast("int").alias("article"))
+
+
+@query(f"SELECT id, n::INT AS article, (n % total + 1)::INT AS next_article, ((n + total - 2) % total + 1)::INT AS prev_article FROM ({ARTICLES})")
+def next_prev_article(spark, sf_dir):
+    number = lambda c: F.regexp_extract(c, "제([0-9]+)조", 1).cast("int")
+    return segments.neighbours(segments.extract(corpus.laws(spark, sf_dir), "article")).select("id", number("label").alias("article"), number("next_label").alias("next_article"), number("prev_label").alias("prev_article"))
+
+
+@query(f"SELECT id, '제2조 (목적2)' AS label, 5::INT AS line_index FROM ({ARTICLES}) WHERE n = 2")
+def article_by_prefix(spark, sf_dir):
+    return segments.first_starting(segments.extract(corpus.laws(spark, sf_dir), "article"), "제2조")
+
+
+@query("""SELECT o_orderkey AS id, unnest(['판시사항'] || CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN ['참조조문'] ELSE [] END ||
+CASE WHEN o_orderkey % 4 != 0 THEN ['참조판례'] ELSE [] END || ['판례내용']) AS label FROM orders""")
+def sections(spark, sf_dir):
+    return segments.extract(corpus.rulings(spark, sf_dir), "section").select("id", "label")
+
+
+@query("SELECT o_orderkey AS id, '판시사항' || chr(10) || '[1] ' || o_orderstatus AS text FROM orders")
+def section_text(spark, sf_dir):
+    return segments.extract(corpus.rulings(spark, sf_dir), "section").where("label = '판시사항'").select("id", "text")
+
+
+NAME = lambda k: f"substr('{SYLLABLES}', (({k}) % 20 + 1)::BIGINT, 1) || substr('{SYLLABLES}', (({k}) // 20 % 20 + 1)::BIGINT, 1) || substr('{SYLLABLES}', (({k}) // 400 % 20 + 1)::BIGINT, 1)"
+PERSONS = f"""SELECT o_orderkey AS id, {NAME('o_custkey')} AS name, 'judge' AS role, '재판장' AS qualifier FROM orders UNION ALL
+SELECT o_orderkey, {NAME('o_custkey + 7')}, 'judge', NULL FROM orders UNION ALL SELECT o_orderkey, {NAME('o_orderkey')}, 'attorney', NULL FROM orders UNION ALL
+SELECT o_orderkey, {NAME('o_orderkey + 3')}, 'prosecutor', NULL FROM orders"""
+
+
+def people(spark, sf_dir):
+    return persons.extract(corpus.rulings(spark, sf_dir))
+
+
+@query(f"SELECT id, name, role, coalesce(qualifier, '') AS qualifier FROM ({PERSONS})")
+def persons_extract(spark, sf_dir):
+    return people(spark, sf_dir).select("id", "name", "role", F.coalesce("qualifier", F.lit("")).alias("qualifier"))
+
+
+@query(f"SELECT name, count(DISTINCT id) AS n FROM ({PERSONS}) GROUP BY name")
+def person_index(spark, sf_dir):
+    return persons.by_name(people(spark, sf_dir))
+
+
+@query(f"SELECT p.id, p.role, o.o_orderpriority AS case_type FROM ({PERSONS}) p JOIN orders o ON p.id = o.o_orderkey WHERE name = '박이김' AND role = 'judge'")
+def person_search(spark, sf_dir):
+    docs = corpus.rulings(spark, sf_dir)
+    return persons.search(persons.extract(docs), "박이김", "judge").join(docs.select("id", "case_type"), "id").select("id", "role", "case_type")
+
+
+# ---- citations ---------------------------------------------------------------------------------------------------------------
+
+STATUTES = """SELECT l_orderkey AS id, (CASE WHEN l_suppkey % 3 = 0 THEN '구 ' ELSE '' END) || '법' || (l_partkey % 50) AS law_name, '제' || l_linenumber || '조' AS article,
+'제' || l_quantity::INT || '항' AS detail, (CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END)::INT AS grp, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+
+
+def statutes(spark, sf_dir):
+    return citations.extract_statutes(corpus.rulings(spark, sf_dir))
+
+
+@query(f"SELECT id, law_name, article, detail, grp FROM ({STATUTES})")
+def statute_refs(spark, sf_dir):
+    return statutes(spark, sf_dir).select("id", "law_name", "article", "detail", "grp")
+
+
+@query("""SELECT o_orderkey AS id, '대법원' AS court, year(o_orderdate) || '다' || o_orderkey AS case_number, strftime(o_orderdate, '%Y-%m-%d') AS ruling_date FROM orders WHERE o_orderkey % 4 != 0
+UNION ALL SELECT o_orderkey, '헌법재판소', '98헌바' || o_custkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey % 4 != 0""")
+def case_refs(spark, sf_dir):
+    return citations.extract_cases(corpus.rulings(spark, sf_dir)).select("id", "court", "case_number", "ruling_date")
+
+
+def known_laws(spark, sf_dir):
+    """Titles of the laws numbered 5 to 44, and one that holds others' names."""
+    t = corpus.laws(spark, sf_dir).where("key BETWEEN 5 AND 44").select("title")
+    return t.union(spark.createDataFrame([("새법47",)], "title string"))
+
+
+MATCHES = """SELECT law_name, CASE WHEN k BETWEEN 5 AND 44 AND law_name NOT LIKE '구 %' THEN 'Exact' WHEN k BETWEEN 5 AND 44 THEN 'OldVersion' WHEN k = 47 OR k < 5 OR k > 44 THEN
+CASE WHEN t IS NULL THEN 'Unmatched' ELSE 'Substring' END END AS match_type, CASE WHEN k BETWEEN 5 AND 44 THEN 'kr/법' || k || '/법률' ELSE 'kr/' || t || '/법률' END AS law_id
+FROM (SELECT law_name, k, (SELECT min(title) FROM (SELECT '법' || p_partkey AS title FROM part WHERE p_partkey BETWEEN 5 AND 44 UNION ALL SELECT '새법47') WHERE contains(title, '법' || k) OR contains('법' || k, title)) AS t
+FROM (SELECT DISTINCT law_name, replace(replace(law_name, '구 ', ''), '법', '')::INT AS k FROM (""" + STATUTES + """)))"""
+
+
+@query(f"SELECT * FROM ({MATCHES})")
+def match_tiers(spark, sf_dir):
+    return citations.match_laws(statutes(spark, sf_dir), known_laws(spark, sf_dir))
+
+
+@query(f"""WITH m AS ({MATCHES}), r AS (SELECT id, count(*) AS n, count(m.law_id) AS k FROM ({STATUTES}) s LEFT JOIN m USING (law_name) GROUP BY id)
+SELECT o_orderkey AS id, CASE WHEN n = k THEN 'ExactStatuteMatch' WHEN k > 0 THEN 'PartialStatuteMatch' WHEN o_orderkey % 4 != 0 THEN 'CaseRefsOnly' ELSE 'AffinityFallback' END AS resolution
+FROM orders LEFT JOIN r ON r.id = o_orderkey""")
+def resolution(spark, sf_dir):
+    docs = corpus.rulings(spark, sf_dir)
+    refs = citations.extract_statutes(docs)
+    return citations.resolutions(docs, refs, citations.extract_cases(docs), citations.match_laws(refs, known_laws(spark, sf_dir)))
+
+
+@query(f"SELECT DISTINCT law_name, article, id FROM ({STATUTES})")
+def citation_map(spark, sf_dir):
+    return citations.citation_index(statutes(spark, sf_dir))
+
+
+@query(f"SELECT law_name, count(DISTINCT id) AS n_rulings FROM ({STATUTES}) GROUP BY law_name")
+def law_counts(spark, sf_dir):
+    return citations.law_counts(citations.citation_index(statutes(spark, sf_dir)))
+
+
+@query(f"SELECT law_name, article, count(DISTINCT id) AS n_rulings FROM ({STATUTES}) GROUP BY law_name, article")
+def article_counts(spark, sf_dir):
+    return citations.law_counts(citations.citation_index(statutes(spark, sf_dir)), ("law_name", "article"))
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT id FROM ({STATUTES}) WHERE law_name = '법7' AND article = '제3조')")
+def rulings_for_law(spark, sf_dir):
+    docs = corpus.rulings(spark, sf_dir)
+    return citations.rulings_for(citations.citation_index(citations.extract_statutes(docs)), docs, "법7", "제3조").select("id")
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT id FROM ({STATUTES}) WHERE law_name = '법7')")
+def rulings_for_law_fallback(spark, sf_dir):
+    docs = corpus.rulings(spark, sf_dir)
+    return citations.rulings_for(citations.citation_index(citations.extract_statutes(docs)), docs, "법7", "제99조").select("id")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 100)
+SELECT law_name, article, arg_min(detail, rank * 100 + (1 - l_linenumber % 2) * 50 + l_linenumber) AS detail, count(*) AS cite_count, count(DISTINCT id) AS ruling_count FROM ({STATUTES}) JOIN r USING (id)
+GROUP BY law_name, article ORDER BY cite_count DESC, law_name, article LIMIT 20""")
+def cited_laws_ranked(spark, sf_dir):
+    best = fusion.ranks(read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id").orderBy(F.desc("o_totalprice"), "id").limit(100), "o_totalprice")
+    return citations.cited_laws(statutes(spark, sf_dir), best)
+
+
+@query()
+def similarity_search(spark, sf_dir):
+    docs = corpus.rulings(spark, sf_dir)
+    return fusion.similar(docs, citations.extract_statutes(docs), "법7 제3조", 50)
+
+
+@query("""WITH t(case_type, rank, search_term) AS (VALUES ('민사', 1, '민법'), ('민사', 2, '상법'), ('민사', 3, '민사소송'), ('민사', 4, '임대차'), ('', 1, '헌법'), ('', 2, '민법'))
+SELECT o_orderkey AS id, rank::INT AS rank, search_term FROM orders JOIN t ON t.case_type = CASE WHEN o_orderpriority = '1-URGENT' THEN '민사' ELSE '' END""")
+def affinity(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "민사").otherwise(F.col("o_orderpriority")).alias("case_type"))
+    return citations.affinity(o).select("id", "rank", "search_term")
+
+
+# ---- catalog -----------------------------------------------------------------------------------------------------------------
+
+
+def parts(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"), F.split("p_type", " ").alias("departments"), F.col("p_size").alias("size"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND list_contains(string_split(p_type, ' '), (SELECT min(string_split(p_type, ' ')[1]) FROM part))")
+def law_filter(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    first = p.agg(F.min("category").alias("c"), F.min(F.col("departments")[0]).alias("d")).first()
+    return catalog.law_filter(p, first.c, first.d).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def semi_bookmarks(spark, sf_dir):
+    return catalog.law_filter(parts(spark, sf_dir), bookmarks=read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("id"))).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+def anti_uncached(spark, sf_dir):
+    return catalog.to_fetch(parts(spark, sf_dir), read(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_partkey").alias("id"))).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def precedent_filter(spark, sf_dir):
+    return catalog.equal_filter(read(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INT AS rank FROM orders QUALIFY rank <= 100")
+def list_sorted_date(spark, sf_dir):
+    top = catalog.by_date(read(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").limit(100)
+    return fusion.ranks(top.withColumnRenamed("o_orderkey", "id"), "o_orderdate")
+
+
+@query("SELECT DISTINCT unnest(string_split(p_type, ' ')) AS value FROM part")
+def facets(spark, sf_dir):
+    return catalog.facets(parts(spark, sf_dir), "departments", many=True)
+
+
+@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), '11')")
+def title_search(spark, sf_dir):
+    return catalog.title_search(parts(spark, sf_dir), "11").select("id")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'x' || p_size ELSE p_brand END AS category, CASE WHEN p_partkey % 3 = 0 AND p_size % 5 = 0 THEN 1 ELSE len(string_split(p_type, ' ')) END::INT AS n FROM part")
+def enrich_left_join(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    cache = p.where("id % 3 = 0").select("id", F.when(F.col("size") % 2 == 0, F.concat(F.lit("x"), F.col("size").cast("string"))).otherwise("").alias("category"), F.when(F.col("size") % 5 == 0, F.array(F.lit("d"))).otherwise(F.array().cast("array<string>")).alias("departments"))
+    return catalog.enrich(p, cache, ("category",), ("departments",)).select("id", "category", F.size("departments").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(nfc_normalize(lower(text)), 'é')")
+def nfc_search(spark, sf_dir):
+    return catalog.composed_search(read(spark, sf_dir, "documents"), "é", "text").select("doc_id")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<br\\s*/?>', ' ', 'gi'), '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS name FROM pages")
+def sanitize_name(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.sanitize_case_name(F.col("html")).alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('als', '민'), ('alsqjq', '민법'), ('gksrmf', '한글'), ('rhk', '과'), ('rksk', '가나'), ('r1k', 'ㄱ1ㅏ')) t(keys, hangul)")
+def keyboard_hangul(spark, sf_dir):
+    rows = spark.createDataFrame([(k,) for k in ("als", "alsqjq", "gksrmf", "rhk", "rksk", "r1k")], "keys string")
+    return rows.select("keys", T.hangul_keys(F.col("keys")).alias("hangul"))
+
+
+@query("SELECT o_orderkey AS id, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
+def ranked_join(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("oid"), F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("rank"))
+    return catalog.ranked(o, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")).select(F.col("oid").alias("id"), F.col("c_name").alias("name"))
