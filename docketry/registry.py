@@ -509,11 +509,9 @@ def parts(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"), F.split("p_type", " ").alias("departments"), F.col("p_size").alias("size"))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND list_contains(string_split(p_type, ' '), (SELECT min(string_split(p_type, ' ')[1]) FROM part))")
+@query("SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#4' AND list_contains(string_split(p_type, ' '), 'SMALL')")
 def law_filter(spark, sf_dir):
-    p = parts(spark, sf_dir)
-    first = p.agg(F.min("category").alias("c"), F.min(F.col("departments")[0]).alias("d")).first()
-    return catalog.law_filter(p, first.c, first.d).select("id")
+    return catalog.law_filter(parts(spark, sf_dir), "Brand#4", "SMALL").select("id")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
@@ -521,9 +519,9 @@ def semi_bookmarks(spark, sf_dir):
     return catalog.law_filter(parts(spark, sf_dir), bookmarks=read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("id"))).select("id")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.05)")
 def anti_uncached(spark, sf_dir):
-    return catalog.to_fetch(parts(spark, sf_dir), read(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_partkey").alias("id"))).select("id")
+    return catalog.to_fetch(parts(spark, sf_dir), read(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount < 0.05").select(F.col("l_partkey").alias("id"))).select("id")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -542,9 +540,9 @@ def facets(spark, sf_dir):
     return catalog.facets(parts(spark, sf_dir), "departments", many=True)
 
 
-@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), '11')")
+@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'hot g')")
 def title_search(spark, sf_dir):
-    return catalog.title_search(parts(spark, sf_dir), "11").select("id")
+    return catalog.title_search(parts(spark, sf_dir), "HOT g").select("id")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'x' || p_size ELSE p_brand END AS category, CASE WHEN p_partkey % 3 = 0 AND p_size % 5 = 0 THEN 1 ELSE len(string_split(p_type, ' ')) END::INT AS n FROM part")
@@ -574,3 +572,82 @@ def keyboard_hangul(spark, sf_dir):
 def ranked_join(spark, sf_dir):
     o = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("oid"), F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("rank"))
     return catalog.ranked(o, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")).select(F.col("oid").alias("id"), F.col("c_name").alias("name"))
+
+
+# ---- sources, sinks, streams -------------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below the session's checkpoint folder, else (tests) a local one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/docketry"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def stream_distinct(spark, sf_dir):
+    from docketry.streaming.ingest import distinct_stream
+
+    source, out, state = (scratch(spark, x) for x in ("events", "distinct", "state"))
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.union(e.where("event_id % 10 = 0")).repartition(4).write.parquet(source)
+    rows = spark.readStream.schema(e.schema).parquet(source)
+    distinct_stream(rows, "event_id", state, out, "ts", "365 days").awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT source AS collection, count(*) AS n, count(DISTINCT sha256(text)) AS n_contents FROM documents GROUP BY source")
+def stream_ingest(spark, sf_dir):
+    from docketry.streaming.ingest import index_stream, parquet_stream
+
+    source, root, state = (scratch(spark, x) for x in ("files", "store", "state"))
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("path"), "text", F.octet_length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"))
+    d.repartition(2, "path").write.parquet(source)
+    store = indexing.Store(spark, root)
+    index_stream(parquet_stream(spark, source, d.schema, 1), store, state).awaitTermination()
+    return store.documents().groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_contents"))
+
+
+@query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title, p_brand AS category, (length(p_type) > 0)::INT + 1 AS n_departments FROM part WHERE p_partkey <= 40")
+def scan_laws(spark, sf_dir):
+    from docketry.sources import files
+
+    root = scratch(spark, "tree") + "/kr"
+    rows = corpus.laws(spark, sf_dir).where("key <= 40").select("title", "raw")
+    write_tree(rows, root)
+    return files.laws(files.markdown(spark, root)).select("id", "title", "category", F.size("departments").alias("n_departments"))
+
+
+def write_tree(rows: DataFrame, root: str) -> None:
+    """A file 법률.md for each row (title, raw), in a folder of its title; by Hadoop's file system, from the driver: a fixture of
+    a few files, as a checkout would leave them."""
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in rows.collect():
+        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{r.title}/법률.md")
+        out = p.getFileSystem(conf).create(p, True)
+        out.write(bytearray(r.raw.encode("utf-8")))
+        out.close()
+
+
+@query("SELECT to_json({'id': p_partkey, 'title': p_name})::VARCHAR AS value FROM part")
+def json_sink(spark, sf_dir):
+    from docketry.sources.sinks import json_lines
+
+    return json_lines(parts(spark, sf_dir).select("id", "title"))
+
+
+@query("SELECT p_partkey || chr(9) || p_name || chr(9) || p_brand || chr(9) || list_aggregate(string_split(p_type, ' '), 'string_agg', ',') AS value FROM part")
+def tsv_sink(spark, sf_dir):
+    from docketry.sources.sinks import tsv_lines
+
+    return tsv_lines(parts(spark, sf_dir).select("id", "title", "category", "departments"))
+
+
+@query(f"SELECT id, '= 법' || p_partkey || chr(10) || chr(10) || string_agg('===== 제' || n || '조 (목적' || n || ')' || chr(10) || '#strong[' || p_name || '] 제' || n || chr(10), chr(10) ORDER BY n) AS markup FROM ({ARTICLES}) GROUP BY id, p_partkey")
+def markup_sink(spark, sf_dir):
+    from docketry.sources.sinks import to_markup
+
+    return corpus.laws(spark, sf_dir).select("id", to_markup(F.col("raw")).alias("markup"))
