@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it (expressions in lambdas are not shared otherwise)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def trimmed(c: Column) -> Column:
     """Without white space, of any alphabet, at either end."""
     return F.regexp_replace(c, EDGES, "")

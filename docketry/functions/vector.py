@@ -8,10 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def bound(value: Column, f) -> Column:
-    """f of a value that is computed once, also where f uses it inside a lambda."""
-    return F.transform(F.array(value), f)[0]
-
+from docketry.functions.frontmatter import bound
 
 def total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)

@@ -149,7 +149,7 @@ def postings(docs: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("b
     sizes = sum((F.coalesce(F.size(c), F.lit(0)) for c in columns), F.lit(0))
     parts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("w")) for c in columns])
     rows = ready.select(id_col, sizes.alias("dl"), F.explode(parts).alias("p"))
-    return rows.select(id_col, "dl", F.col("p.col").alias("col"), F.posexplode("p.w").alias("pos", "term"))
+    return rows.select(id_col, "dl", F.col("p.col").alias("col"), F.posexplode_outer("p.w").alias("pos", "term")).where("term is not null")
 
 
 def _hits(c: Column, term: Term) -> Column:

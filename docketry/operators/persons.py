@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.frontmatter import lines, strip_frontmatter, trimmed
+from docketry.functions.frontmatter import bound, lines, strip_frontmatter, trimmed
 
 ROLES = ("judge", "attorney", "prosecutor")
 #: Fixed ranges of Hangul syllables and letters; a name has two to four of them.
@@ -26,29 +26,33 @@ def persons_of(raw: Column) -> Column:
     none = F.array().cast(PERSON)
     tokens = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\S+"), F.lit(0))
 
-    def of_line(line: Column) -> Column:
-        x = trimmed(line)
+    def of_line(x: Column, bare: Column) -> Column:
         bench = F.regexp_extract(x, "(?s)^(?:대법관|판사)(.*)$", 1)
         after = lambda t: F.regexp_replace(F.regexp_extract(t, r"(?s)^[^(]*\((.*)$", 1), r"\)$", "")
         judges = F.transform(tokens(bench), lambda t: _person(F.regexp_extract(t, r"^[^(]*", 0), "judge", F.when(t.contains("("), after(t))))
         counsel = F.regexp_extract_all(x, F.lit(r"(?U)변호사\s*((?:(?!변호사)\S)+|(?=변호사))"), F.lit(1))
         attorneys = F.transform(counsel, lambda t: _person(F.regexp_replace(F.regexp_extract(t, r"^[^(]*", 0), "[,.，)）]+$", ""), "attorney", F.lit(None)))
-        bare = F.replace(x, F.lit(" "), F.lit(""))
         named = F.regexp_extract(bare, "(?s)【검사】(.*)$", 1)
         state = F.transform(F.split(named, "[,，]"), lambda t: _person(F.regexp_extract(trimmed(F.regexp_extract(t, "(?s)^[^외]*", 0)), r"(?U)^\S*", 0), "prosecutor", F.lit(None)))
         return F.concat(
-            F.when(x.rlike("^(?:대법관|판사)"), judges).otherwise(none).cast(PERSON),
+            F.when(x.startswith("대법관") | x.startswith("판사"), judges).otherwise(none).cast(PERSON),
             F.when(x.contains("변호사"), attorneys).otherwise(none).cast(PERSON),
             F.when(bare.contains("【검사】"), state).otherwise(none).cast(PERSON),
         )
 
-    every = F.filter(F.flatten(F.transform(lines(strip_frontmatter(raw)), of_line)), lambda p: is_name(p["name"]))
-    return F.filter(every, lambda p, i: ~F.exists(F.slice(every, F.lit(1), i), lambda q: (q["name"] == p["name"]) & (q["role"] == p["role"])))
+    def named_in(line: Column) -> Column:
+        return bound(F.struct(trimmed(line).alias("x"), F.replace(trimmed(line), F.lit(" "), F.lit("")).alias("bare")), lambda s: of_line(s["x"], s["bare"]))
+
+    # only lines that can name anyone are looked at
+    some = F.filter(lines(strip_frontmatter(raw)), lambda x: x.contains("대법관") | x.contains("판사") | x.contains("변호사") | x.contains("【"))
+    every = F.filter(F.flatten(F.transform(some, named_in)), lambda p: is_name(p["name"]))
+    first = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: (q["name"] == p["name"]) & (q["role"] == p["role"])))
+    return bound(every, first)
 
 
 def extract(docs: DataFrame, id_col: str = "id", raw_col: str = "raw") -> DataFrame:
     """(id, pos, name, role, qualifier): one row for each person of each document. Narrow."""
-    return docs.select(id_col, F.posexplode(persons_of(F.col(raw_col))).alias("pos", "p")).select(id_col, "pos", "p.name", "p.role", "p.qualifier")
+    return docs.select(id_col, F.posexplode_outer(persons_of(F.col(raw_col))).alias("pos", "p")).where("p is not null").select(id_col, "pos", "p.name", "p.role", "p.qualifier")
 
 
 def search(index: DataFrame, name: str, role: str | None = None) -> DataFrame:

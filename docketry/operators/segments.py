@@ -23,7 +23,8 @@ def headings(rows: Column, kind: str) -> Column:
 def extract(docs: DataFrame, kind: str, id_col: str = "id", raw_col: str = "raw") -> DataFrame:
     """(id, idx, label, line_index, text): one row for each heading; text is plain, from it to the next of its kind."""
     rows = docs.select(id_col, lines(strip_frontmatter(F.col(raw_col))).alias("_l")).withColumn("_h", headings(F.col("_l"), kind))
-    rows = rows.select(id_col, "_l", "_h", F.posexplode("_h").alias("idx", "_x"))
+    # an outer explode, because a plain one adds a filter that parses every document a second time
+    rows = rows.select(id_col, "_l", "_h", F.posexplode_outer("_h").alias("idx", "_x")).where("_x is not null")
     end = F.coalesce(F.try_element_at("_h", (F.col("idx") + 2).cast("int"))["line_index"], F.size("_l"))
     text = plain(F.slice(F.col("_l"), F.col("_x.line_index") + 1, end - F.col("_x.line_index")))
     return rows.select(id_col, "idx", F.col("_x.label").alias("label"), F.col("_x.line_index").alias("line_index"), text.alias("text"))

@@ -23,9 +23,14 @@ def person(k: Column) -> Column:
     return F.concat(at(k), at(F.floor(k / 20)), at(F.floor(k / 400)))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores: a few megabytes of tables, which would be one task, become many times as much text."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, raw, …): a statute for each part: header, then as many articles as its size modulo 5 and one."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part"), "p_partkey")
     name = F.concat(F.lit("법"), _s("p_partkey"))
     article = lambda n: F.concat(F.lit("##### 제"), n.cast("string"), F.lit("조 (목적"), n.cast("string"), F.lit(")\n**"), F.col("p_name"), F.lit("** 제"), n.cast("string"), F.lit("\n\n"))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), article), "")
@@ -40,7 +45,7 @@ def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.concat(F.when(F.col("l_suppkey") % 3 == 0, "구 ").otherwise(""), F.lit("법"), _s(F.col("l_partkey") % 50))
     text = F.concat(law, F.when(F.col("l_linenumber") == 2, "(1998. 12. 31. 개정되기 전의 것)").otherwise(""), F.lit(" 제"), _s("l_linenumber"), F.lit("조 제"), _s(F.col("l_quantity").cast("int")), F.lit("항"))
     lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), text.alias("t")))).alias("ls"))
-    d = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    d = spread(o.join(lines, o.o_orderkey == lines.l_orderkey, "left"), "o_orderkey")
     some = F.coalesce("ls", F.array().cast("array<struct<n:int,p:bigint,s:bigint,t:string>>"))
     odd = F.array_join(F.transform(F.filter(some, lambda x: x["n"] % 2 == 1), lambda x: x["t"]), ", ")
     even = F.array_join(F.transform(F.filter(some, lambda x: x["n"] % 2 == 0), lambda x: x["t"]), ", ")

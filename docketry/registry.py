@@ -311,7 +311,7 @@ def index_stats(spark, sf_dir):
 
 @query()
 def chunk_sizes(spark, sf_dir):
-    rows = indexing.fingerprint(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode(indexing.chunks_of(F.col("text").cast("binary"))).alias("seq", "chunk"))
+    rows = indexing.fingerprint(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode_outer(indexing.chunks_of(F.col("text").cast("binary"))).alias("seq", "chunk")).where("chunk is not null")
     return rows.select("doc_id", "seq", F.octet_length("chunk").alias("n"))
 
 
