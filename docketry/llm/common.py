@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+    LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    LIBC = None
+
 #: Text bytes that one step of a Python worker holds at a time (one longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
 
@@ -36,6 +43,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive tasks, and what their allocators keep adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in slices of at most so many text bytes, or of one row."""
     for batch in batches:
@@ -46,6 +60,7 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        trim()
 
 
 def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:

@@ -21,7 +21,7 @@ from docketry.llm import common
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 120_000
 #: Class of each byte: letter 0 (UTF-8 bytes of U+00C0..U+00FF too), digit 1, sign 2, white space 3.
 KIND = np.full(256, 2, np.uint8)
 KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 0
@@ -217,7 +217,7 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(size, (context.partitionId() if context else 0) * TASK_RANGE)
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, 1 << 20):
             ids, per = word_ids(tokenizer).ids(block.column("text"))
             ends = np.cumsum(per)
             for k, doc in enumerate(block.column("doc_id").to_pylist()):

@@ -79,7 +79,7 @@ def fingerprint_table(df: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     def step(block: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(fingerprints(*common.buffers(block.column("text")), words))], ["doc_id", "fp"])
 
-    return common.map_blocks(common.two_columns(df, id_col, text_col), step, "doc_id long, fp long")
+    return common.map_blocks(common.two_columns(df, id_col, text_col), step, "doc_id long, fp long", 1 << 20)
 
 
 def variants(prints: DataFrame) -> DataFrame:
