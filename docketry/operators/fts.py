@@ -128,13 +128,18 @@ def stemmed(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {'array<string>' if f.name in columns else f.dataType.simpleString()}" for f in docs.schema.fields)
     ready = docs.withColumns({c: words(F.col(c)) for c in columns})
 
+    class Stems(dict):
+        def __missing__(self, word: str) -> str:
+            self[word] = fold(word)
+            return self[word]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        known = Stems()
         for b in batches:
             for c in columns:
                 k = b.schema.get_field_index(c)
                 lists = b.column(k).to_pylist()
-                new = pa.array([None if x is None else [known.setdefault(w, fold(w)) for w in x] for x in lists], pa.list_(pa.string()))
+                new = pa.array([None if x is None else [known[w] for w in x] for x in lists], pa.list_(pa.string()))
                 b = b.set_column(k, c, new)
             if len(known) > 500_000:
                 known.clear()
