@@ -13,13 +13,13 @@ CATEGORIES = {"법률": "법률", "시행령": "대통령령", "시행규칙": "
 
 
 def markdown(spark: SparkSession, root: str, pattern: str = "*.md", head: int | None = None) -> DataFrame:
-    """(path, raw, size, mtime): files below root, paths relative to it. head: only so many first bytes; a character that they
-    cut is replaced. README.md and what is in .git is left out."""
+    """(path, raw, size, mtime): files below root, paths relative to it. head: only so many first bytes. What isn't
+    valid text, as a character that they cut, is replaced. README.md and what is in .git is left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     content = F.col("content") if head is None else F.substring("content", 1, head)
     base = root.rstrip("/").rpartition("/")[2]
     path = F.regexp_extract("path", f"^.*?/{base}/(.*)$", 1)
-    rows = files.select(path.alias("path"), F.decode(content, "UTF-8").alias("raw") if head is None else F.try_validate_utf8(content.cast("string")).alias("raw"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    rows = files.select(path.alias("path"), F.make_valid_utf8(content.cast("string")).alias("raw"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
     return rows.where(~F.col("path").rlike(r"(^|/)\.git/|(^|/)README\.md$"))
 
 
