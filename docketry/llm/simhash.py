@@ -128,7 +128,8 @@ def drop_near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: s
     null id stay, and rows that share an id stay or go together."""
     found = near_duplicates(df, words, bits, id_col, text_col)
     gone = common.written(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    # always by merging, which splits hot keys and needs no bound on the ids that go
+    return df.join(gone.hint("merge"), df[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
