@@ -30,8 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Bounds what Spark hands to a Python worker at a time by bytes: by rows alone, texts make batches of any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, null texts as empty; other columns, whatever their names, are not read."""
+    bounded_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -75,6 +81,7 @@ def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
 
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of df, with all columns, for which keep (of a block's texts, null ones as empty) is true. Narrow."""
+    bounded_batches(df)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
