@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import common, decontamination, langid, packing, secrets, simhash
+from docketry.llm import common, decontamination, langid, packing, secrets, similarity
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates; rows without an id stay."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that with the smallest id, of each group of near-duplicates (op9's, and texts with a similarity of 0.8 or
+    more on five-word shingles); rows without an id stay."""
+    return similarity.drop_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,6 +107,14 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.union(few).union(words.where("a != fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
+def rooted(docs: DataFrame, bits: int = 2) -> DataFrame:
+    """(fp, first, root) for every distinct fingerprint of docs: the smallest doc_id that has it, and the root of its component."""
+    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(nodes.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
+    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return common.written(nodes, "nodes")
+
+
 def near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row of df.
 
@@ -115,10 +123,7 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str =
     result; other columns are not read. Equal fingerprints are one node, so copies, however many, add no links.
     """
     docs = common.written(fingerprint_table(df, words, id_col, text_col), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = common.written(nodes, "nodes")
+    nodes = rooted(docs, bits)
     ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return docs.join(nodes.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
