@@ -615,21 +615,25 @@ def scan_laws(spark, sf_dir):
     from docketry.sources import files
 
     root = scratch(spark, "tree") + "/kr"
-    rows = corpus.laws(spark, sf_dir).where("key <= 40").select("title", "raw")
+    rows = corpus.laws(spark, sf_dir).select("title", "raw")
     write_tree(rows, root)
     return files.laws(files.markdown(spark, root)).select("id", "title", "category", F.size("departments").alias("n_departments"))
 
 
 def write_tree(rows: DataFrame, root: str) -> None:
-    """A file 법률.md for each row (title, raw), in a folder of its title; by Hadoop's file system, from the driver: a fixture of
-    a few files, as a checkout would leave them."""
-    spark = rows.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in rows.collect():
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{r.title}/법률.md")
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(bytearray(r.raw.encode("utf-8")))
-        out.close()
+    """A file 법률.md for each row (title, raw), in a folder of its title, as a checkout would leave them; written by the executors
+    to a folder that they share."""
+
+    def write(part) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for r in part:
+            store.create_dir(f"{base}/{r.title}")
+            with store.open_output_stream(f"{base}/{r.title}/법률.md") as out:
+                out.write(r.raw.encode("utf-8"))
+
+    rows.foreachPartition(write)
 
 
 @query("SELECT to_json({'id': p_partkey, 'title': p_name})::VARCHAR AS value FROM part")

@@ -13,3 +13,9 @@ def test_vec_each(spark):
     got = [tuple(r) for r in registry.vec_each(spark, SF).select("vec_id", "rowid", "value").collect()]
     assert max(w[0] for w in want) >= 20 and [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
     assert np.allclose([g[2] for g in sorted(got)], [w[2] for w in sorted(want)], atol=2e-6)
+
+
+def test_scan_laws(spark):
+    want = duckdb.sql(f"SELECT 'kr/법' || p_partkey || '/법률', '법' || p_partkey, p_brand, (length(p_type) > 0)::INT + 1 FROM '{SF}/part.parquet'").fetchall()
+    got = [tuple(r) for r in registry.scan_laws(spark, SF).select("id", "title", "category", "n_departments").collect()]
+    assert len(want) > 40 and sorted(got) == sorted(want)
