@@ -1,7 +1,10 @@
 """Registered queries over the whole of their tables."""
 
+import re
+
 import duckdb
 import numpy as np
+import pytest
 
 from docketry import registry
 
@@ -19,3 +22,20 @@ def test_scan_laws(spark):
     want = duckdb.sql(f"SELECT 'kr/법' || p_partkey || '/법률', '법' || p_partkey, p_brand, (length(p_type) > 0)::INT + 1 FROM '{SF}/part.parquet'").fetchall()
     got = [tuple(r) for r in registry.scan_laws(spark, SF).select("id", "title", "category", "n_departments").collect()]
     assert len(want) > 40 and sorted(got) == sorted(want)
+
+
+def brute_passage(text):
+    return b"passage: " + " ".join(w for w in re.split("[ \n\t\r]+", text) if w).encode()[:2048].rstrip(b" ")
+
+
+def test_fnv_embed(spark, tmp_path):
+    texts = ["short", "two  blanks", " a \n\t b ", "x" * 1500, "word " * 700, "가나다 " * 600, "", "a" * 2038 + "가나"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r["first"], r["last"]) for r in registry.fnv_embed(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        h = 40389
+        for c in brute_passage(text):
+            h = (h + c) * 403 % 65536
+        e = np.array([(h + i) * 403 % 65536 / 65535 - 0.5 for i in range(384)])
+        assert got[k] == pytest.approx(tuple((e / np.sqrt((e * e).sum()))[[0, -1]]), abs=2e-6)
