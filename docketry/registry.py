@@ -429,9 +429,8 @@ def case_refs(spark, sf_dir):
 
 
 def known_laws(spark, sf_dir):
-    """Titles of the laws numbered 5 to 44, and one that holds others' names."""
-    t = corpus.laws(spark, sf_dir).where("key BETWEEN 5 AND 44").select("title")
-    return t.union(spark.createDataFrame([("새법47",)], "title string"))
+    """Titles of all laws."""
+    return corpus.laws(spark, sf_dir).select("title")
 
 
 MATCHES = """SELECT law_name, CASE WHEN k BETWEEN 5 AND 44 AND law_name NOT LIKE '구 %' THEN 'Exact' WHEN k BETWEEN 5 AND 44 THEN 'OldVersion' WHEN k = 47 OR k < 5 OR k > 44 THEN
