@@ -1,9 +1,10 @@
 """Packing documents into token windows by the sum-of-squares rule.
 
 Each task packs the documents of its input split, online: a piece goes to the fill level that leaves the sum of the squared
-counts of partially filled windows least; the counts are a level array. Full windows leave at once. At the end of a split the
-windows that are still open are cut anew: their pieces, in order, fill whole windows, and the rest is cut into windows whose
-lengths are powers of two, which need no padding. So open windows of splits, however many, cost no padding.
+counts of partially filled windows least; the counts are a level array. Full windows leave at once. What the rule has put
+together stays together: at the end of a split only the emptiest open windows, as few as have the tokens that the others lack,
+are taken apart. Their pieces, and windows of powers of two for what the others don't lack, fill the gaps: whole into the least room
+that takes them, else cut. So no sequence is padded.
 """
 
 from __future__ import annotations
@@ -183,19 +184,38 @@ class Packer:
             self.counts[level + length] += 1
 
     def close(self) -> None:
-        """Cuts the pieces of the open windows, fullest first, into whole windows and then powers of two."""
-        left = [w for level in reversed(self.open) for w in level]
-        rest = sum(len(p[2]) for w in left for p in w)
-        window, room = [], min(self.size, 1 << (rest.bit_length() - 1)) if rest else 0
-        for doc, start, ids, total in (p for w in left for p in w):
-            while len(ids):
-                part, ids = ids[:room], ids[room:]
-                window.append((doc, start, part, total))
-                start, room, rest = start + len(part), room - len(part), rest - len(part)
-                if not room:
-                    self.write(window)
-                    window, room = [], min(self.size, 1 << (rest.bit_length() - 1)) if rest else 0
+        """Fills the open windows up with the pieces of the emptiest ones and writes them all."""
+        left = [(self.size - level, w) for level in range(self.size - 1, 0, -1) for w in self.open[level]]
         self.open, self.counts[:] = [[] for _ in range(self.size)], 0
+        lack, loose = sum(room for room, _ in left), []
+        while left and sum(len(p[2]) for p in loose) < lack:
+            room, window = left.pop()  # the emptiest
+            lack -= room
+            loose += window
+        rooms, left = [room for room, _ in left], [w for _, w in left]
+        count = sum(len(p[2]) for p in loose) - lack  # what no gap takes
+        while count > 0:
+            left.append([])
+            rooms.append(1 << (count.bit_length() - 1))
+            count -= rooms[-1]
+        cut = []
+        for piece in sorted(loose, key=lambda p: -len(p[2])):
+            room, k = min(((room, k) for k, room in enumerate(rooms) if room >= len(piece[2])), default=(0, 0))
+            if room:
+                left[k].append(piece)
+                rooms[k] -= len(piece[2])
+            else:
+                cut.append(piece)
+        gaps = [k for k, room in enumerate(rooms) if room]
+        for doc, start, ids, total in cut:
+            while len(ids):
+                part, ids = ids[: rooms[gaps[0]]], ids[rooms[gaps[0]] :]
+                left[gaps[0]].append((doc, start, part, total))
+                start, rooms[gaps[0]] = start + len(part), rooms[gaps[0]] - len(part)
+                if not rooms[gaps[0]]:
+                    gaps.pop(0)
+        for window in left:
+            self.write(window)
 
     def taken(self) -> pa.RecordBatch:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -208,8 +228,8 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_co
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids (no special tokens added) and end_id; a null or empty text is end_id alone. Documents longer than a
-    window give whole windows and one rest; only rests that are still open when a split ends are cut a second time. Every
-    sequence is full or a power of two long, so none is padded. Sequence ids are unique over the table: a split has a range of
+    window give whole windows and one rest, which the rule places; only a few rests of a split's emptiest windows are placed or cut
+    a second time. Every sequence is full or a power of two long, so none is padded. Sequence ids are unique over the table: a split has a range of
     its own. Repeated rows are packed as often as they occur, null ids stay null, an empty table gives an empty result, other
     columns are not read. Narrow: no shuffle; a task holds its open windows only.
     """
@@ -217,7 +237,7 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(size, (context.partitionId() if context else 0) * TASK_RANGE)
-        for block in common.blocks(batches, 1 << 20):
+        for block in common.blocks(batches):
             ids, per = word_ids(tokenizer).ids(block.column("text"))
             ends = np.cumsum(per)
             for k, doc in enumerate(block.column("doc_id").to_pylist()):

@@ -130,6 +130,82 @@ def test_sum_of_squares_rule():
         assert cost(p.place(length)) == min(map(cost, levels))
 
 
+def online_rule(lengths, size):
+    """The rule by trying every level: the pieces of each window, full ones and then open ones."""
+    full, opened = [], []
+    for k, length in enumerate(lengths):
+        counts = {}
+        for w in opened:
+            counts[w[0]] = counts.get(w[0], 0) + 1
+
+        def cost(level):
+            n = dict(counts)
+            n[level] = n.get(level, 0) - (level > 0)
+            if level + length < size:
+                n[level + length] = n.get(level + length, 0) + 1
+            return sum(x * x for lv, x in n.items() if 0 < lv)
+
+        level = min([0, *[lv for lv in counts if lv + length <= size]], key=lambda lv: (cost(lv), -lv))
+        window = next((w for w in reversed(opened) if level and w[0] == level), None)
+        if window is None:
+            window = [0, []]
+        else:
+            opened.remove(window)
+        window[0] += length
+        window[1].append(k)
+        (full if window[0] == size else opened).append(window)
+    return [w[1] for w in full], [w[1] for w in opened]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_are_those_of_the_rule(seed):
+    rng = random.Random(seed)
+    size, n = rng.choice([16, 64, 200]), rng.choice([1, 40, 400])
+    lengths = [rng.randint(1, size - 1) for _ in range(n)]
+    p = packing.Packer(size, 0)
+    for k, length in enumerate(lengths):
+        p.add(k, np.full(length, k, np.uint32))
+    p.close()
+    windows, at = {}, {}
+    for doc, start, length, _, _, sequence, offset in p.rows:
+        windows.setdefault(sequence, []).append((offset, doc, start, length))
+        at.setdefault(doc, []).append(sequence)
+    full, opened = online_rule(lengths, size)
+    together = {tuple(sorted(d for _, d, _, _ in w)) for w in windows.values()}
+    assert all(tuple(sorted(w)) in together for w in full)
+    # of the open windows all but the emptiest stay as they are, with other pieces after theirs
+    fill = sorted(opened, key=lambda w: -sum(lengths[k] for k in w))
+    stay = [w for w in fill if len({at[k][0] for k in w}) == 1 and all(len(at[k]) == 1 for k in w) and [d for _, d, _, _ in sorted(windows[at[w[0]][0]])][: len(w)] == w]
+    lacking = sum(size - sum(lengths[k] for k in w) for w in stay)
+    moved = sum(lengths[k] for w in opened for k in w) - sum(lengths[k] for w in stay for k in w)
+    assert moved < lacking + size
+    for w in windows.values():
+        total = sum(x[3] for x in w)
+        assert total == size or total & (total - 1) == 0
+    assert sum(x[3] for w in windows.values() for x in w) == sum(lengths)
+
+
+def test_the_rule_places_nearly_all(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array([r.text or "" for r in common.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()])
+    ids, per = packing.WordIds(path).ids(texts)
+    ends, p, total = np.cumsum(per), packing.Packer(2048, 0), 0
+    for k in range(len(per)):
+        p.add(k, np.append(ids[ends[k] - per[k] : ends[k]], np.uint32(1)))
+        total += int(per[k]) + 1
+    ruled = {(w[0][0], *(x[0] for x in w[1:])) for level in p.open for w in level}
+    pieces = sum(len(w) for w in ruled) + len(p.rows)
+    p.close()
+    windows, docs = {}, {}
+    for doc, _, _, size, _, sequence, _ in p.rows:
+        windows.setdefault(sequence, []).append(doc)
+        docs.setdefault(doc, []).append(size)
+    heads = {tuple(w[: len(r)]) for w in windows.values() for r in ruled if w[0] == r[0]}
+    moved = sum(len(r) for r in ruled if r not in heads)
+    twice = sum(len(v) > 1 + (sum(v) >= 2048) + (sum(v) // 2048 - 1 if sum(v) >= 2048 else 0) for v in docs.values())
+    assert moved <= 0.1 * pieces and twice <= 0.03 * len(docs), (moved, pieces, twice)
+
+
 # ---- repeated strings
 
 
