@@ -95,6 +95,12 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarra
     return df.mapInArrow(run, df.schema)
 
 
+def excerpt(text: Column, id_col: Column, most: int) -> Column:
+    """At most so many code points of a text, from a place that a hash of its id gives: for fitting, never for results."""
+    over = F.greatest(F.length(text) - most, F.lit(0)) + 1
+    return F.substring(text, (F.pmod(F.xxhash64(id_col), over.cast("bigint")) + 1).cast("int"), F.lit(most))
+
+
 def crc_rest(id_col: Column, by: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(id_col.cast("string").cast("binary")) % by

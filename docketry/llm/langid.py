@@ -1,7 +1,8 @@
 """Language ID by a byte convolutional network: filters of several widths, max pooling and softmax, trained in numpy.
 
-Windows have a fixed length and cover the whole text. For inference the embedding and the filters are folded into tables by pairs
-of byte classes, so a filter's value is the sum of two looked-up rows; the result is that of the network.
+Windows have a fixed length and cover the whole text; every one of the 256 byte values has an embedding of its own. For inference
+the embedding and the filters are folded into tables by pairs of bytes, so a filter's value is the sum of two looked-up rows; the
+result is that of the network. Tables are made in the worker that needs them and never sent.
 """
 
 from __future__ import annotations
@@ -19,19 +20,18 @@ WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 8, (2, 3, 4)
 #: Bounds of the fit: documents of each language, and windows of each document, spread over it.
 DOCS, SPREAD = 150, 8
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.02, 7
-#: Byte classes: letters 0-25 (either case), space 26, digits 27, other ASCII 28, lead bytes 29-31, other bytes by their low bits.
-CLASS = np.full(256, 28, np.uint8)
-CLASS[97:123] = CLASS[65:91] = np.arange(26)
-CLASS[[32, *range(9, 14)]] = 26
-CLASS[48:58] = 27
-CLASS[128:192] = 32 + np.arange(64) % 32
-CLASS[192:224], CLASS[224:], CLASS[0xC3] = 29, 30, 31
+#: Byte that windows are padded with.
+BLANK = 32
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Bytes that weigh a window: ASCII letters, and those of all other characters.
+HEAVY = LETTER | (np.arange(256) >= 128)
+#: Code points of a labelled text that training sees, at a place that its id gives.
+FIT_CHARS = 1 << 16
 
 
 def windows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of all texts as a matrix of classes, padded with spaces, and the text of each."""
+    """All windows of all texts as a matrix of bytes, padded with blanks, and the text of each."""
     sizes = np.diff(offsets)
     per = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(per)), per)
@@ -39,7 +39,7 @@ def windows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = offsets[:-1][owner] + place * WINDOW
     index = at[:, None] + np.arange(WINDOW)
     out = codes[np.minimum(index, max(len(codes) - 1, 0))] if len(codes) else np.empty((0, WINDOW), np.uint8)
-    out[index >= offsets[1:][owner][:, None]] = 26
+    out[index >= offsets[1:][owner][:, None]] = BLANK
     return out, owner
 
 
@@ -49,7 +49,7 @@ class Network:
     def __init__(self, languages: list[str]):
         rng = np.random.default_rng(SEED)
         self.languages = languages
-        self.p = {"e": rng.normal(0, 0.5, (64, EMBED))}
+        self.p = {"e": rng.normal(0, 0.5, (256, EMBED))}
         for w in WIDTHS:
             self.p[f"w{w}"] = rng.normal(0, 0.4, (w, EMBED, FILTERS))
             self.p[f"b{w}"] = np.zeros(FILTERS)
@@ -99,18 +99,23 @@ class Network:
                     v[name] = 0.99 * v[name] + 0.01 * grad * grad
                     self.p[name] = self.p[name] - RATE * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("head", "tail")}
+
     def fold(self) -> None:
-        """Tables by pairs of classes: what a pair adds as the first two places of a filter, and as the third and fourth."""
-        rows = {w: np.einsum("ce,jef->jcf", self.p["e"], self.p[f"w{w}"]) for w in WIDTHS}
-        pair = lambda a, b: (a[:, None] + b[None]).reshape(4096, FILTERS)
-        self.head = np.concatenate([pair(rows[w][0], rows[w][1]) + self.p[f"b{w}"] for w in WIDTHS], 1).astype(np.float32)
-        self.tail = np.concatenate([pair(rows[3][2], np.zeros((64, FILTERS))), pair(rows[4][2], rows[4][3])], 1).astype(np.float32)
+        """Tables by pairs of bytes: what a pair adds as the first two places of a filter, and as the third and fourth."""
+        rows = {w: np.einsum("ce,jef->jcf", self.p["e"], self.p[f"w{w}"]).astype(np.float32) for w in WIDTHS}
+        pair = lambda a, b: (a[:, None] + b[None]).reshape(65536, FILTERS)
+        self.head = np.concatenate([pair(rows[w][0], rows[w][1]) + self.p[f"b{w}"].astype(np.float32) for w in WIDTHS], 1)
+        self.tail = np.concatenate([pair(rows[3][2], np.zeros((256, FILTERS), np.float32)), pair(rows[4][2], rows[4][3])], 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "head"):
+            self.fold()
         out = np.empty((len(x), len(self.languages)))
         for k in range(0, len(x), 64):
             b = x[k : k + 64].astype(np.int32)
-            pairs = b[:, :-1] * 64 + b[:, 1:]
+            pairs = b[:, :-1] * 256 + b[:, 1:]
             conv = self.head[pairs[:, :-2]]
             conv[:, :, FILTERS:] += self.tail[pairs[:, 2:]]
             out[k : k + 64] = np.maximum(conv.max(axis=1), 0) @ self.p["o"] + self.p["c"]
@@ -119,8 +124,8 @@ class Network:
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language (an index, -1: no letter) and its probability for each text: window logits weighted by their letters."""
         n = len(offsets) - 1
-        x, owner = windows(CLASS[data], offsets)
-        weight = ((x < 26) | (x > 28)).sum(1).astype(float) + 1e-9
+        x, owner = windows(data, offsets)
+        weight = HEAVY[x].sum(1).astype(float) + 1e-9
         total = np.zeros((n, len(self.languages)))
         np.add.at(total, owner, self.logits(x) * weight[:, None])
         total /= np.maximum(np.bincount(owner, weight, n), 1e-9)[:, None]
@@ -136,8 +141,9 @@ class Network:
 
 
 def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """A network trained on at most DOCS documents of each language, the first by a hash of their ids; None without any."""
-    rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and i is not null")
+    """A network trained on at most DOCS documents of each language, the first by a hash of their ids, on at most SPREAD windows of
+    FIT_CHARS code points of each; None without any."""
+    rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), common.excerpt(F.col(text_col), F.col(id_col), FIT_CHARS).alias("t")).where("l is not null and i is not null")
     first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     chosen = rows.select("i", "l").withColumn("k", F.row_number().over(first)).where(F.col("k") <= DOCS).select("i").distinct()
     got = sorted(map(tuple, rows.where("t is not null").join(F.broadcast(chosen), "i", "left_semi").collect()), key=lambda r: (r[1], r[0], r[2]))
@@ -147,14 +153,13 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
     xs, ys = [], []
     for _, lang, text in got:
         raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-        x, _ = windows(CLASS[raw], np.array([0, len(raw)]))
-        x = x[((x < 26) | (x > 28)).sum(1) > 8]
+        x, _ = windows(raw, np.array([0, len(raw)]))
+        x = x[HEAVY[x].sum(1) > 8]
         x = x[np.linspace(0, len(x) - 1, min(SPREAD, len(x))).astype(int)] if len(x) else x
         xs.append(x)
         ys += [languages.index(lang)] * len(x)
     net = Network(languages)
     net.train(np.concatenate(xs), np.array(ys, np.int64))
-    net.fold()
     return net
 
 

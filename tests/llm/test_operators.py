@@ -378,10 +378,39 @@ def test_language(spark, documents, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id in (2, 3, 6)").count() == 0
 
 
+#: A few words of languages with alphabets of their own.
+ALPHABETS = {
+    "el": "και το νερό της θάλασσας είναι ο δρόμος μας για το σπίτι όπου ζει η μητέρα με το μικρό παιδί",
+    "ru": "и вода в реке была холодной когда мы шли домой по старой дороге через большой лес",
+    "uk": "і вода в річці була холодною коли ми їхали додому старою дорогою через великий ліс",
+    "he": "והמים בנהר היו קרים כאשר הלכנו הביתה בדרך הישנה דרך היער הגדול",
+    "ar": "وكان الماء في النهر باردا عندما مشينا إلى البيت في الطريق القديم عبر الغابة الكبيرة",
+    "zh": "我们沿着古老的道路穿过大森林回家时河里的水很冷",
+    "ja": "わたしたちがふるいみちをあるいてもりをとおっていえにかえるときかわのみずはつめたかった",
+    "ko": "우리가 오래된 길을 따라 큰 숲을 지나 집으로 돌아갈 때 강물은 차가웠다",
+    "en": "and the water in the river was cold when we walked home on the old road through the great forest",
+}
+
+
+def test_alphabets(spark):
+    rng, rows = random.Random(8), []
+    for lang, text in ALPHABETS.items():
+        words = text.split() if " " in text else [text[k : k + 2] for k in range(0, len(text), 2)]
+        rows += [(None, lang, (" " if " " in text else "").join(rng.choices(words, k=rng.randint(8, 40)))) for _ in range(60)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(k, lang, t) for k, (_, lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    net = langid.fit(docs.where("doc_id % 3 != 0"))
+    held = docs.where("doc_id % 3 = 0")
+    got = langid.identify(held, net).join(held.select("doc_id", "lang"), "doc_id").collect()
+    wrong = [(r.lang, r.lang_pred) for r in got if r.lang != r.lang_pred]
+    assert len(wrong) <= 0.03 * len(got), wrong
+    x = np.frombuffer("αб".encode(), np.uint8)  # lead bytes differ, and so do the windows
+    assert langid.windows(x, np.array([0, 2, 4]))[0][:, :2].tolist() == [list("α".encode()), list("б".encode())]
+
+
 def test_folded_network_equals_the_network():
     net, rng = langid.Network(["a", "b"]), np.random.default_rng(1)
-    net.fold()
-    x = rng.integers(0, 64, (5, langid.WINDOW)).astype(np.uint8)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
     want = np.maximum(net.pooled(x)[0], 0) @ net.p["o"] + net.p["c"]
     assert np.abs(net.logits(x) - want).max() < 1e-4
 
