@@ -1,7 +1,7 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints that differ in at most 2 (or 3) of 64 bits agree, with one bit left out, on one of two halves: of two segments one
-differs in at most one bit. Each fingerprint is indexed under its 64 one-wildcard halves, equal variants meet in an equality
+Fingerprints that differ in at most 2 of 64 bits agree, with one bit left out, on one of two halves: of two segments one differs
+in at most one bit. Each fingerprint is indexed under its 64 one-wildcard halves, equal variants meet in an equality
 join, and what meets is verified on all bits. Variants that more fingerprints than a cap share are worked on exactly in another
 way: two fingerprints differ in at most two bits if and only if some 64-bit word is within one bit of both, so the members are
 linked to the least of each such word, and no pairs are made.
@@ -89,10 +89,11 @@ def variants(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("i")).select(F.expr(key).alias("key"), "fp")
 
 
-def links(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """(a, b) of distinct fingerprints: every pair that differs in at most `bits` bits is in one component of these links."""
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b) of distinct fingerprints: every pair that differs in at most 2 bits is in one component of these links."""
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    # dealt by another hash than the one they were counted by, which would be taken for done and merged into few tasks
+    index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")))
     groups = common.written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     pairs = groups.where("n = 2").where(near).select("a", "b")
     met = common.written(index.join(groups.where("n > 2").select("key", "n"), "key"), "met")
@@ -100,22 +101,20 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     few = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b")
     # larger variants: each member meets, at every word within one bit, the least member there
     many = met.where(F.col("n") > PAIRWISE).select("fp").distinct()
-    if bits != 2:
-        raise ValueError("large variants are solved for 2 bits")
     words = many.select("fp", F.explode(F.expr("sequence(0, 64)")).alias("i")).select("fp", F.expr("case when i = 64 then fp else fp ^ shiftleft(1L, i) end").alias("word"))
     words = words.join(words.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "word")
     return pairs.union(few).union(words.where("a != fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
-def rooted(docs: DataFrame, bits: int = 2) -> DataFrame:
+def rooted(docs: DataFrame) -> DataFrame:
     """(fp, first, root) for every distinct fingerprint of docs: the smallest doc_id that has it, and the root of its component."""
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return common.written(nodes, "nodes")
 
 
-def near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row of df.
 
     Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Rows with a null id get the
@@ -123,15 +122,15 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str =
     result; other columns are not read. Equal fingerprints are one node, so copies, however many, add no links.
     """
     docs = common.written(fingerprint_table(df, words, id_col, text_col), "fingerprints")
-    nodes = rooted(docs, bits)
+    nodes = rooted(docs)
     ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return docs.join(nodes.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all columns, less those that aren't the one with the smallest id of their component; rows with a
     null id stay, and rows that share an id stay or go together."""
-    found = near_duplicates(df, words, bits, id_col, text_col)
+    found = near_duplicates(df, words, id_col, text_col)
     gone = common.written(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
     # always by merging, which splits hot keys and needs no bound on the ids that go
     return df.join(gone.hint("merge"), df[id_col].cast("long") == gone["_gone"], "left_anti")
