@@ -111,13 +111,14 @@ def crc_rest_py(value: int, by: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    name = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not name:
-        name = os.path.join(tempfile.gettempdir(), "docketry-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(name)
-    return name
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local session (tests), where all is one
+    machine, may leave it unset; a cluster without it is an error, since tables in a machine's own folder would be lost or split."""
+    name = spark.conf.get("spark.checkpoint.dir", None)
+    if name:
+        return name
+    if not spark.conf.get("spark.master", "local").startswith(("local[", "local*")) and spark.conf.get("spark.master", "local") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return os.path.join(tempfile.gettempdir(), "docketry-checkpoints")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -127,7 +128,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df (file sizes for a scan): for choosing numbers of partitions, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

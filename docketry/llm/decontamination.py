@@ -22,8 +22,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-#: Text bytes of test items that are sent to all tasks at once; a larger test set is scanned for in parts.
-PART_BYTES = 16 << 20
+#: Words of test items (about) that are sent to all tasks at once, some 25 bytes each; a larger test set is scanned for in parts.
+PART_WORDS = 400_000
+#: Words of a segment: a longer item is cut into overlapping ones, so that no row is larger.
+SEGMENT = 20_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,26 +34,32 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some test items, by length: a matrix of word numbers sorted by hash, and the items of each row."""
-
-    def __init__(self, items: list[tuple], size: int):
-        words = [(str(i) if i is not None else None, item_words(t)) for i, t in items]
-        vocabulary = sorted({w for _, ws in words for w in ws})
-        number = {w: k for k, w in enumerate(vocabulary)}
-        self.vocabulary = pa.array(vocabulary, pa.large_binary())
-        found: dict[int, dict[tuple, set]] = {}
-        for item, ws in words:
-            ids = [number[w] for w in ws]
-            for k in range(max(len(ids) - size + 1, min(len(ids), 1))):
-                window = tuple(ids[k : k + size])
-                found.setdefault(len(window), {}).setdefault(window, set()).add(item)
+    """The windows of some segments of test items, by length: sorted hashes of the distinct ones, where the words of each are, and
+    the items that have it, as offsets into a list. All are arrays, which are small to hold and to send."""
+
+    def __init__(self, segments: list[tuple], size: int):
+        names = sorted({i for i, _ in segments if i is not None})
+        place = {i: k for k, i in enumerate(names)}
+        self.names = np.array([*names, ""], object)  # the last one: no id
+        words = [w.split(b" ") for _, w in segments]
+        coded = pa.array([w for ws in words for w in ws], pa.large_binary()).dictionary_encode()
+        self.vocabulary, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+        counts = np.array([len(ws) for ws in words], np.int64)
+        begin = np.cumsum(counts) - counts
+        owner = np.array([place.get(i, len(names)) for i, _ in segments], np.int64)
         self.by_length = {}
-        for length, rows in found.items():
-            matrix = np.array(list(rows), np.int64).reshape(-1, length)
-            hashes = self.hash(lambda j: matrix[:, j], length)
-            order = np.argsort(hashes, kind="stable")
-            items_of = list(rows.values())
-            self.by_length[length] = (hashes[order], matrix[order], [items_of[k] - {None} for k in order.tolist()])
+        for length in sorted(set(np.minimum(counts, size).tolist())):
+            own = np.flatnonzero(np.minimum(counts, size) == length)
+            per = counts[own] - length + 1
+            of = np.repeat(own, per)
+            at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+            matrix = self.ids[at[:, None] + np.arange(length)]
+            hashes = self.hash(lambda j, matrix=matrix: matrix[:, j], length)
+            order = np.lexsort((*matrix.T, hashes))
+            hashes, matrix, at, of = hashes[order], matrix[order], at[order], owner[of[order]]
+            new = np.r_[True, (hashes[1:] != hashes[:-1]) | (matrix[1:] != matrix[:-1]).any(axis=1)]
+            both = np.unique(np.stack([np.cumsum(new) - 1, of], 1), axis=0)
+            self.by_length[length] = (hashes[new], at[new].astype(np.int32), np.searchsorted(both[:, 0], np.arange(new.sum() + 1)).astype(np.int32), both[:, 1].astype(np.int32))
 
     @staticmethod
     def hash(column, length: int) -> np.ndarray:
@@ -87,7 +95,7 @@ class Windows:
         breaks = np.flatnonzero(stop)
         nxt = breaks[np.searchsorted(breaks, at + 1, side="left")]
         room = np.where(ids < 0, 0, nxt - at)
-        for length, (hashes, matrix, items_of) in self.by_length.items():
+        for length, (hashes, places, bounds_of, items_of) in self.by_length.items():
             able = np.flatnonzero(room >= length)
             if not len(able):
                 continue
@@ -97,24 +105,43 @@ class Windows:
             ok[ok] = hashes[left[ok]] == h[ok]
             able, left = able[ok], left[ok]
             while len(able):  # windows with equal hashes follow one another
-                same = (ids[able[:, None] + np.arange(length)] == matrix[left]).all(axis=1)
+                same = (ids[able[:, None] + np.arange(length)] == self.ids[places[left][:, None] + np.arange(length)]).all(axis=1)
                 np.add.at(hit, able[same], 1)
                 np.add.at(hit, able[same] + length, -1)
                 text = np.searchsorted(bounds, able[same], side="right") - 1
-                for d, w in set(zip(text.tolist(), left[same].tolist())):
-                    items[d] |= items_of[w]
+                pair = np.unique(text * len(hashes) + left[same])
+                d, w = pair // len(hashes), pair % len(hashes)
+                n = bounds_of[w + 1] - bounds_of[w]
+                item = items_of[np.repeat(bounds_of[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                pair = np.unique(np.repeat(d, n) * len(self.names) + item)
+                pair = pair[pair % len(self.names) < len(self.names) - 1]
+                for k, name in zip((pair // len(self.names)).tolist(), self.names[pair % len(self.names)].tolist()):
+                    items[k].add(name)
                 more = ~same & (left + 1 < len(hashes))
                 more[more] = hashes[left[more] + 1] == hashes[left[more]]
                 able, left = able[more], left[more] + 1
         return begin, end, bounds, np.cumsum(hit)[:-1] > 0, np.diff(bounds), items
 
 
-def parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The test items in parts of bounded size, by a hash of the text; one part in the usual case."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = -(-total // PART_BYTES)
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()] for k in range(n)] if n > 1 else [[tuple(r) for r in rows.collect()]]
+def parts(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> Iterator[tuple[Windows, bool]]:
+    """The windows of the test set in parts of bounded size, one part at a time, and whether it is the last.
+
+    Executors cut the items into segments, which are written; the driver collects those of one part when it is asked for."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = item_words(text)
+                own = [words[k : k + SEGMENT] for k in range(0, max(len(words) - size + 1, min(len(words), 1)), SEGMENT - size + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(list(map(len, own)), pa.int64()), pa.array([b" ".join(w) for w in own], pa.binary())], ["item", "n", "words"])
+
+    common.bounded_batches(benchmark)
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    rows = common.written(rows.mapInArrow(cut, "item string, n long, words binary").distinct(), "test-items")
+    n = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
+    for k in range(n):
+        own = rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k) if n > 1 else rows
+        yield Windows([(r.item, bytes(r.words)) for r in own.select("item", "words").collect()], size), k == n - 1
 
 
 def scan(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -122,14 +149,13 @@ def scan(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc
 
     Null texts have no words; items without words or with a null text have no windows; a null item id hits but isn't listed;
     repeated rows give repeated results; empty tables on either side are allowed; other columns are not read. The test set is
-    sent to the tasks in parts of at most PART_BYTES; each further part is one more pass over a written table.
+    sent to the tasks in parts of about PART_WORDS words; each further part is one more pass over a written table, and the driver
+    never holds two parts.
     """
     fields = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     kept = "text string, marks array<long>, named array<string>"
 
-    def passed(rows: DataFrame, items: list[tuple], first: bool, last: bool) -> DataFrame:
-        windows = Windows(items, size)
-
+    def passed(rows: DataFrame, windows: Windows, first: bool, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in common.blocks(batches):
                 column = block.column("text")
@@ -159,18 +185,17 @@ def scan(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc
 
         return rows.mapInArrow(run, fields if last else f"doc_id long, {kept}")
 
-    rows, todo = common.two_columns(df, id_col, text_col), parts(benchmark, item_col, item_text)
-    for k, items in enumerate(todo):
-        rows = passed(rows, items, k == 0, k == len(todo) - 1)
-        if k < len(todo) - 1:
+    rows, first = common.two_columns(df, id_col, text_col), True
+    for windows, last in parts(benchmark, size, item_col, item_text):
+        rows, first = passed(rows, windows, first, last), False
+        if not last:
             rows = common.written(rows, "decontamination")
     return rows
 
 
 def remove_documents(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df, with all columns, that hold no window of the test set: one narrow pass for each part of it."""
-    for items in parts(benchmark, item_col, item_text):
-        windows = Windows(items, size)
+    for windows, last in parts(benchmark, size, item_col, item_text):
 
         def keep(texts: pa.Array, windows: Windows = windows) -> np.ndarray:
             _, _, bounds, hit, _, _ = windows.scan(*common.buffers(texts))
@@ -178,14 +203,14 @@ def remove_documents(df: DataFrame, benchmark: DataFrame, size: int = 10, text_c
             return total[bounds[1:]] == total[bounds[:-1]]
 
         df = common.keep_rows(df, text_col, keep)
+        df = df if last else common.written(df, "decontaminated")
     return df
 
 
 def remove_spans(df: DataFrame, benchmark: DataFrame, mark: str = " ", size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df, with all columns, every run of hit words replaced by a mark; null texts stay null. One pass for each part."""
     place = df.columns.index(text_col)
-    for items in parts(benchmark, item_col, item_text):
-        windows = Windows(items, size)
+    for windows, last in parts(benchmark, size, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -208,6 +233,7 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, mark: str = " ", size: int
                 yield batch.set_column(place, batch.schema.field(place).with_type(pa.string()), column)
 
         df = df.mapInArrow(run, df.schema)
+        df = df if last else common.written(df, "decontaminated")
     return df
 
 

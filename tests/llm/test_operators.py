@@ -548,9 +548,10 @@ def brute_scan(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("part", [16 << 20, 40])
+@pytest.mark.parametrize("part", [400_000, 5])
 def test_decontamination(spark, monkeypatch, documents, odd, empty, part):
-    monkeypatch.setattr(decontamination, "PART_BYTES", part)
+    monkeypatch.setattr(decontamination, "PART_WORDS", part)
+    monkeypatch.setattr(decontamination, "SEGMENT", 11)
     items = [(1, "Hello, WORLD!"), (2, None), (3, ""), (None, "no id"), (4, "café – 中文 mixed 12"), (5, "long " * 12), (5, "long " * 12), (6, "--- !!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = [(r.doc_id, r.text) for r in odd.collect()]
@@ -569,6 +570,15 @@ def test_decontamination_documents(spark, documents):
     assert got == brute_scan([(r.doc_id, r.text) for r in documents.collect()], [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_windows_are_small():
+    import pickle
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(30000)}".encode() for _ in range(100_000)]
+    segments = [(str(k), b" ".join(words[k * 1000 : k * 1000 + 1000])) for k in range(100)]
+    assert len(pickle.dumps(decontamination.Windows(segments, 10))) < 35 * len(words)
+
+
 # ---- queries
 
 
