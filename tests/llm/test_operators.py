@@ -354,6 +354,69 @@ def test_tagger_on_held_out_lines(tagger, monkeypatch):
     assert hits > 0.9 * sum(map(len, found)) and hits > 0.9 * sum(len(b) for _, b in lines)
 
 
+def planted_pii(text, rng):
+    """A text with personal data that the patterns miss put between its words, and where they are."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    words = ["anna", "b.novak", "j_smith", "kim77", "maria.lopez", "office", "t-berg"]
+
+    def card(sep):
+        body = "4" + digits(14)
+        full = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return sep.join(full[k : k + 4] for k in range(0, 16, 4))
+
+    kinds = [
+        (0, lambda: f"{rng.choice(words)} (at) {rng.choice(['mailbox', 'corp', 'uni2'])}.{rng.choice(['com', 'org', 'de'])}"), (0, lambda: f"{rng.choice(words)}[at]{rng.choice(['mailbox', 'corp'])}.net"),
+        (2, lambda: card(".")), (2, lambda: card("/")), (2, lambda: card("  ")), (3, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), (3, lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"),
+        (1, lambda: "[.]".join(str(rng.randint(1, 255)) for _ in range(4))),
+    ]
+    parts, out, spans = text.split(" "), "", []
+    places = set(rng.sample(range(len(parts)), min(3, len(parts))))
+    for k, word in enumerate(parts):
+        out += word + " "
+        if k in places:
+            kind, make = rng.choice(kinds)
+            value = make()
+            spans.append((kind, len(out), len(out) + len(value)))
+            out += value + " "
+    return out, spans
+
+
+def pii_figures(spark, docs, net):
+    """Share of added spans that were planted, share of planted spans that were found (same kind, overlapping), spans added to the
+    documents as they are."""
+    rng, rows, want = random.Random(12), [], {}
+    texts = [(r.doc_id, r.text) for r in docs.where("length(text) > 100").orderBy("doc_id").collect()]
+    for doc, text in texts:
+        new, want[doc] = planted_pii(text, rng)
+        rows.append((doc, new))
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find_pii(spark.createDataFrame(rows, DOCS), net).collect()}
+    meet = lambda s, t: s[0] == t[0] and s[1] < t[2] and t[1] < s[2]
+    added = sum(map(len, got.values()))
+    right = sum(any(meet(s, t) for t in want[d]) for d, spans in got.items() for s in spans)
+    caught = sum(any(meet(s, t) for s in got[d]) for d, spans in want.items() for t in spans)
+    plain = sum(len(r.added) for r in pii.find_pii(docs, net).collect())
+    return right / max(added, 1), caught / sum(map(len, want.values())), plain
+
+
+def test_tagger_finds_what_patterns_miss(spark, documents, tagger):
+    precision, recall, plain = pii_figures(spark, documents, tagger)
+    assert precision >= 0.9 and recall >= 0.8 and plain <= 0.02 * documents.count(), (precision, recall, plain)
+
+
+def test_clear():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = lambda n: [(rng.randrange(4), a := rng.randrange(60), a + rng.randint(1, 9)) for _ in range(n)]
+        found, own = [], spans(5)
+        for s in sorted(spans(9), key=lambda s: s[1]):  # a sequence of tags has no spans that overlap
+            found += [s] * (not found or s[1] >= found[-1][2])
+        assert pii.clear(found, own) == sorted(s for s in found if not any(s[1] < o[2] and o[1] < s[2] for o in own))
+
+
+def test_fit_of_no_rows(empty):
+    assert pii.find_pii(empty, pii.fit(empty)).count() == 0
+
+
 def test_pii_rows(odd, empty, documents, tagger):
     for df in (documents, odd):
         got = sorted(((r.doc_id, [tuple(s) for s in r.base]) for r in pii.find_pii(df, tagger).collect()), key=str)
