@@ -277,12 +277,53 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+def brute_neighbours(ids, x, asked, k=5):
+    """For each asked id its k nearest others, by cosine and id."""
+    norm, out = np.linalg.norm(x, axis=1), {}
+    for q in asked:
+        i = int(np.flatnonzero(ids == q)[0])
+        cos = x @ x[i] / (norm * norm[i])
+        cos[ids == q] = -9
+        out[q] = ids[np.lexsort((ids, -cos))[:k]].tolist()
+    return out
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_over_many_cells_and_blocks(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "CELL", 2048)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "TOGETHER", 30)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20000, 48))
+    if clustered:
+        x = x * 0.4 + rng.normal(size=(60, 48))[rng.integers(0, 60, 20000)]
+    x = x.astype(np.float32)
+    x[5000:11000] = x[4999]  # a third of all are one vector
+    ids = np.arange(20000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(16)
+    rows = ann.search(df, "vec_id % 50 = 0").collect()
+    asked = ids[ids % 50 == 0].tolist()
+    want, got = brute_neighbours(ids, x.astype(float), asked), {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == asked and all([k for k, _ in sorted(g)] == [1, 2, 3, 4, 5] for g in got.values())
+    hits = sum(len(set(want[q]) & {v for _, v in got[q]}) for q in asked)
+    assert hits >= 0.95 * 5 * len(asked), hits / (5 * len(asked))
+
+
+def test_cells_are_few_where_vectors_are_clustered():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(64, 32))
+    x = rng.normal(size=(4000, 32)) * 0.2 + centres[rng.integers(0, 64, 4000)]
+    assert ann.Cells(x, 64, 5).probes <= 8 and ann.Cells(rng.normal(size=(4000, 32)), 64, 5).probes > 16
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]), (7, [inf, 1.0, 0.0]), (8, [None, 1.0, 0.0]), (9, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (50, [2.0, 0.0, 0.0]), (50, [2.0, 0.0, 0.0])]
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]), (7, [inf, 1.0, 0.0]), (8, [None, 1.0, 0.0]), (9, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (50, [2.0, 0.0, 0.0]), (50, [2.0, 0.0, 0.0]), (11, [3.0, 1.0]), (100, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, v string")
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, "vec_id % 50 = 0", 3).collect()}
-    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 50, (50, 1): 0, (50, 2): 1, (50, 3): 2}
+    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 50, (50, 1): 0, (50, 2): 1, (50, 3): 2, (100, 1): 9, (100, 2): 11}
     assert ann.search(df.limit(0), "vec_id % 50 = 0").count() == 0
     assert ann.search(df.where("vec_id in (0, 3)"), "vec_id % 50 = 0").count() == 1
 
