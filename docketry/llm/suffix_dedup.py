@@ -5,12 +5,16 @@ occurs. So only suffixes that start at anchors are sorted, about one in 18, and
 
 1. documents are dealt to groups of bounded size, packed and compressed;
 2. hashes of the anchors' grams meet in buckets, and a bit for each goes back: does another document have it;
-3. for the anchors that are left, equal contexts of a group are one record with the least document; records go, by their leading
-   bytes and splitters sampled from such records, to buckets, which are ranges of suffixes;
-4. each bucket sorts its records by multikey quicksort, eight bytes at a time, and tells which windows of each record start in an
-   earlier document; a record's windows go back to its group as bits. A splitter parts different leading bytes only, so equal
-   strings never stand on either side of a boundary; what is equal in a group is sent once, so frequent strings don't fill a bucket;
-5. groups mark the bytes and cut them out.
+3. for the anchors that are left, equal contexts of a group are one record with the least document, written in sorted chunks;
+4. splitters are sampled from all records. They are whole records, 50 bytes from the anchor on and then the bytes before it, read
+   backwards, so records that begin alike are parted as well and no frequent string fills a range;
+5. each range sorts its records by multikey quicksort, eight bytes at a time. Two windows whose anchors lie d bytes after their
+   starts are equal if their suffixes have 50 - d bytes in common and what stands before the anchors d bytes: both are read off
+   the common prefixes of neighbours, in suffix order and in the order of the parts before the anchors. Windows that an earlier
+   document has go back to their groups as bits;
+6. ranges are compared across their boundaries: equal windows can only stand on both sides of a boundary if they have the gram of
+   its splitter, so the windows of such records that no earlier document of the range has meet by their 50 bytes;
+7. groups mark the bytes and cut them out.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ WIDE = LEFT + SPAN
 #: Text bytes of a group; beyond MANY groups they grow up to the most.
 GROUP_BYTES, MANY, MOST_BYTES = 8 << 20, 4096, 256 << 20
 FLUSH, CHUNK = 24 << 20, 1 << 18
-#: Leading words of records that the splitters are taken from come from at most so many rows.
-SAMPLE_ROWS = 20_000
+#: Records of a chunk and of a range; beyond MANY ranges they grow up to the most.
+CHUNK_RECORDS, RANGE_RECORDS, MOST_RECORDS = 8192, 1 << 16, 1 << 21
+#: Records that the splitters are taken from: so many of each chunk, of at most so many chunks.
+SAMPLE, SAMPLE_ROWS = 8, 16_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 CODEC = "zstd"
 
@@ -168,13 +174,18 @@ class Group:
 
 
 def words_of(context: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Sorting words of records: the suffix from the anchor on, then what is left of it, then the places of the windows."""
+    """Sorting words of records: the suffix from the anchor on, then what stands before it, backwards, then the windows' places."""
     n = len(context)
     wide = np.zeros((n, 104), np.uint8)
-    wide[:, :SPAN], wide[:, 56 : 56 + LEFT], wide[:, 96:98] = context[:, LEFT:], context[:, :LEFT], span
+    wide[:, :SPAN], wide[:, 56 : 56 + LEFT], wide[:, 96:98] = context[:, LEFT:], context[:, :LEFT][:, ::-1], span
     return wide.view(">u8")
 
 
+def keys_of(context: np.ndarray) -> np.ndarray:
+    """Records as strings in the order of words_of."""
+    return np.ascontiguousarray(np.concatenate([context[:, LEFT:], context[:, :LEFT][:, ::-1]], 1)).view(f"S{WIDE}").ravel()
+
+
 def sorted_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort, breadth first: rows are parted by their first word, then those that are equal by the next, and so on.
 
@@ -198,106 +209,85 @@ def sorted_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, run
 
 
-def bucket_windows(context: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each record of a bucket a bit for each of its windows, from its first: does it start in an earlier document."""
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of a sorted matrix has in common with the one before it (the first: none)."""
+    if not len(rows):
+        return np.empty(0, np.int64)
+    other = rows[1:] != rows[:-1]
+    return np.r_[0, np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1])]
+
+
+def range_windows(context: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each record of a range a bit for each of its windows, from its first: does it start in an earlier document."""
     n = len(context)
-    count = (span[:, 0].astype(np.int64) - span[:, 1]) + 1
-    whole = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
     bits = np.zeros(n, np.uint64)
     if not n:
         return bits
-    words = words_of(context, span)
-    order, run = sorted_runs(words)
+    count = (span[:, 0].astype(np.int64) - span[:, 1]) + 1
+    whole = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
+    order, run = sorted_runs(words_of(context, span))
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     least = np.minimum.reduceat(doc[order], first)
     later = doc[order] > np.repeat(least, np.diff(np.r_[first, n]))
     bits[order[later]] = whole[order[later]]  # the whole context stands in an earlier document
     rest = order[~later]  # in suffix order, one for each distinct context (or more of one document)
-    gram = words[rest, :2].astype(np.uint64)
-    head = np.r_[True, (gram[1:] != gram[:-1]).any(1)]
-    begin = np.flatnonzero(head)
-    size = np.diff(np.r_[begin, len(rest)])
+    begin = np.flatnonzero(common_prefixes(context[rest, LEFT:]) < GRAM)
     several = np.minimum.reduceat(doc[rest], begin) != np.maximum.reduceat(doc[rest], begin)
-    rest, group = rest[np.repeat(several, size)], np.repeat(np.arange(len(begin))[several], size[several])
-    total, k = np.cumsum(count[rest]), 0
-    while k < len(rest):  # groups of equal grams in portions
-        most = (total[k - 1] if k else 0) + (1 << 19)
-        e = int(np.searchsorted(total, most, side="right"))
-        e = max(e, k + 1)
-        if e < len(rest):
-            whole_group = int(np.searchsorted(group, group[e], side="left"))
-            e = whole_group if whole_group > k else int(np.searchsorted(group, group[e], side="right"))
-        part = rest[k:e]
-        own = np.repeat(np.arange(len(part)), count[part])
-        shift = np.arange(len(own)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
-        start = LEFT - span[part, 0].astype(np.int64)[own] + shift
-        flat = np.r_[context[part].ravel(), np.zeros(64, np.uint8)]
-        at = own * WIDE + start
-        word = np.ndarray(len(flat) - 7, "<u8", flat.tobytes(), strides=(1,))
-        strings = [word[at + 8 * j] for j in range(6)] + [word[at + 42]]  # the last overlaps
-        h = (group[k:e][own].astype(np.uint64) * np.uint64(64) + (LEFT - start).astype(np.uint64)) * A
-        for w in strings:
-            h = (h ^ w) * C
-            h ^= h >> np.uint64(32)
-        by = np.argsort(h, kind="stable")
-        same = h[by][1:] == h[by][:-1]
-        equal = same.copy()
-        for w in [*strings, start, group[k:e][own]]:
-            equal &= w[by][1:] == w[by][:-1]
-        if (same & ~equal).any():  # strings that share a hash are sorted by themselves
-            by = np.lexsort([*strings, start, group[k:e][own]])
-            equal = np.ones(len(by) - 1, bool)
-            for w in [*strings, start, group[k:e][own]]:
-                equal &= w[by][1:] == w[by][:-1]
-        runs = np.flatnonzero(np.r_[True, ~equal])
-        owner = doc[part][own[by]]
-        hit = owner > np.repeat(np.minimum.reduceat(owner, runs), np.diff(np.r_[runs, len(by)]))
-        np.bitwise_or.at(bits, part[own[by[hit]]], np.uint64(1) << shift[by[hit]].astype(np.uint64))
-        k = e
+    rest = rest[np.repeat(several, np.diff(np.r_[begin, len(rest)]))]
+    if not len(rest):
+        return bits
+    after = common_prefixes(context[rest, LEFT:])
+    back = np.zeros((len(rest), 40), np.uint8)
+    back[:, :LEFT] = context[rest, :LEFT][:, ::-1]
+    by_back, _ = sorted_runs(back.view(">u8"))
+    before = common_prefixes(back[by_back, :LEFT])
+    place = np.empty(len(rest), np.int64)
+    place[by_back] = np.arange(len(rest))
+    high, low, owner = span[rest, 0], span[rest, 1], doc[rest]
+    for d in range(LEFT + 1):
+        own = np.flatnonzero((high >= d) & (low <= d))
+        if not len(own):
+            continue
+        # the runs of suffixes with 50 - d bytes in common, and of parts before the anchor with d bytes in common
+        runs = np.cumsum(after < SPAN - d)[own] * np.int64(len(rest) + 1) + np.cumsum(before < d)[place[own]]
+        by = np.argsort(runs, kind="stable")
+        head = np.flatnonzero(np.r_[True, runs[by][1:] != runs[by][:-1]])
+        of = owner[own[by]]
+        hit = own[by[of > np.repeat(np.minimum.reduceat(of, head), np.diff(np.r_[head, len(by)]))]]
+        bits[rest[hit]] |= np.uint64(1) << (high[hit].astype(np.uint64) - np.uint64(d))
     return bits
 
 
 def hash_rows(table: pa.Table, buckets: int) -> pa.Table:
-    """Step 2, from a group: (bucket, g, n, keys, flags, lead) for each bucket of hashes."""
+    """Step 2, from a group: (bucket, g, n, keys, flags) for each bucket of hashes; every hash is in one row."""
     group = Group(table)
     group.anchors()
     keys, several = group.grams()
     cuts = np.searchsorted((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-    order = np.argsort(group.hash >> np.uint64(16), kind="stable")
-    if len(order):
-        sorted_keys = (group.hash >> np.uint64(16))[order]
-        head = order[np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])]  # an anchor of each key
-        at = group.at[head]
-        lead = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            lead = lead << np.uint64(8) | group.data[at + j].astype(np.uint64)
     rows = []
     for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         if x < y:
             delta = np.diff(keys[x:y], prepend=np.uint64(0))
-            some = np.arange(x, y, max(1, (y - x) // 8))
-            rows.append((b, int(table["g"][0].as_py()), y - x, squeeze(delta.view(np.uint8).reshape(-1, 8).T), np.packbits(several[x:y]).tobytes(), np.stack([some.astype(np.uint64) - np.uint64(x), lead[some]]).tobytes()))
+            rows.append((b, int(table["g"][0].as_py()), y - x, squeeze(delta.view(np.uint8).reshape(-1, 8).T), np.packbits(several[x:y]).tobytes()))
     return as_table(rows, HASH_ROWS)
 
 
 def hash_answers(table: pa.Table) -> pa.Table:
-    """Step 2, in a bucket: (g, bucket, step, blob, lead): a bit for each hash of a group; lead: sampled leading words."""
-    got = list(zip(*(table[c].to_pylist() for c in ("g", "n", "keys", "flags", "lead"))))
-    keys = [np.cumsum(np.ascontiguousarray(swell(k, 8 * n).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) for _, n, k, _, _ in got]
+    """Step 2, in a bucket: (g, at, step, n, blob): a bit for each hash of a group; at: the bucket."""
+    got = list(zip(*(table[c].to_pylist() for c in ("g", "n", "keys", "flags"))))
+    keys = [np.cumsum(np.ascontiguousarray(swell(k, 8 * n).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) for _, n, k, _ in got]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     same = every[order][1:] == every[order][:-1]
     many = np.empty(len(every), bool)
     many[order] = np.r_[False, same] | np.r_[same, False]
-    many |= np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for _, n, _, f, _ in got])
+    many |= np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for _, n, _, f in got])
     # a hash that two documents of one group have is held by many in every group
     first = np.flatnonzero(np.r_[True, ~same])
     many[order] = np.repeat(np.logical_or.reduceat(many[order], first), np.diff(np.r_[first, len(order)]))
     rows, at, bucket = [], 0, int(table["bucket"][0].as_py())
-    for g, n, _, _, lead in got:
-        own = many[at : at + n]
-        where, words = np.frombuffer(lead, np.uint64).reshape(2, -1)
-        rows.append((g, bucket, 0, squeeze(np.packbits(own)), words[own[where.astype(np.int64)]].tobytes()))
+    for g, n, _, _ in got:
+        rows.append((g, bucket, 0, n, squeeze(np.packbits(many[at : at + n]))))
         at += n
     return as_table(rows, ANSWERS)
 
@@ -314,52 +304,80 @@ def answered(group: Group, replies: dict[int, bytes], buckets: int) -> None:
     group.records(keys, many)
 
 
-def ranges(context: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each record (they are sorted): by its leading word."""
-    lead = np.ascontiguousarray(context[:, LEFT : LEFT + 8]).view(">u8").ravel().astype(np.uint64)
-    return np.searchsorted(splitters, lead, side="right")
-
-
-def record_rows(docs: pa.Table, replies: pa.Table, buckets: int, splitters: np.ndarray) -> pa.Table:
-    """Step 3, from a group: (bucket, g, n, context, span, least) for each range of suffixes."""
+def record_rows(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Step 3, from a group: (g, at, n, context, span, least, lead) for each chunk of its sorted records; at: the place of the
+    chunk's first one; lead: some of the records as keys."""
     if not docs.num_rows:
         return as_table([], RECORDS)
     group = Group(docs)
-    answered(group, dict(zip(replies["bucket"].to_pylist(), replies["blob"].to_pylist())), buckets)
-    bucket = ranges(group.context, splitters)
-    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-    g = int(docs["g"][0].as_py())
-    return as_table([(int(bucket[x]), g, y - x, squeeze(group.context[x:y]), squeeze(group.span[x:y]), group.least[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())], RECORDS)
-
-
-def record_answers(table: pa.Table) -> pa.Table:
-    """Step 4, in a bucket: (g, bucket, step, blob, lead): the bits of each record's windows."""
-    got = list(zip(*(table[c].to_pylist() for c in ("g", "n", "context", "span", "least"))))
-    context = np.concatenate([swell(c, WIDE * n).reshape(n, WIDE) for _, n, c, _, _ in got])
-    span = np.concatenate([swell(s, 2 * n).reshape(n, 2) for _, n, _, s, _ in got])
-    bits = bucket_windows(context, span, np.concatenate([np.frombuffer(d, np.int64) for *_, d in got]))
-    rows, at, bucket = [], 0, int(table["bucket"][0].as_py())
-    for g, n, *_ in got:
-        rows.append((g, bucket, 1, squeeze(bits[at : at + n]), b""))
-        at += n
-    return as_table(rows, ANSWERS)
-
-
-def cut_rows(docs: pa.Table, replies: pa.Table, buckets: int, splitters: np.ndarray) -> pa.Table:
-    """Step 5, from a group: (doc_id, n_bytes, spans, kept) for each document."""
+    answered(group, dict(zip(replies["at"].to_pylist(), replies["blob"].to_pylist())), buckets)
+    g, rows = int(docs["g"][0].as_py()), []
+    for x in range(0, len(group.context), CHUNK_RECORDS):
+        own = slice(x, min(x + CHUNK_RECORDS, len(group.context)))
+        n = own.stop - x
+        some = x + (2 * np.arange(min(SAMPLE, n)) + 1) * n // (2 * min(SAMPLE, n))
+        rows.append((g, x, n, squeeze(group.context[own]), squeeze(group.span[own]), group.least[own].tobytes(), keys_of(group.context[some]).tobytes()))
+    return as_table(rows, RECORDS)
+
+
+def routed(row: tuple, splitters: np.ndarray) -> list[tuple]:
+    """Step 4, a chunk: (bucket, g, at, n, context, span, least) for each range that it has records of."""
+    g, start, n, context, span, least = row
+    context, span = swell(context, WIDE * n).reshape(n, WIDE), swell(span, 2 * n).reshape(n, 2)
+    keys = keys_of(context)
+    low, high = np.searchsorted(splitters, keys[[0, -1]], side="right").tolist()
+    cuts = [0, *np.searchsorted(keys, splitters[low:high], side="left").tolist(), n]
+    return [(low + k, g, start + x, y - x, squeeze(context[x:y]), squeeze(span[x:y]), least[8 * x : 8 * y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y]
+
+
+def range_answers(table: pa.Table, splitters: np.ndarray) -> pa.Table:
+    """Step 5, in a range: (g, at, step, n, blob, window, doc). Step 1: the bits of n records of a group from place `at`; step 2: a
+    window (the n-th of record `at`) next to a boundary that no earlier document of the range has."""
+    got = list(zip(*(table[c].to_pylist() for c in ("g", "at", "n", "context", "span", "least"))))
+    got.sort(key=lambda r: r[:2])
+    sizes = np.array([r[2] for r in got])
+    context = np.concatenate([swell(r[3], WIDE * r[2]).reshape(r[2], WIDE) for r in got])
+    span = np.concatenate([swell(r[4], 2 * r[2]).reshape(r[2], 2) for r in got])
+    doc = np.concatenate([np.frombuffer(r[5], np.int64) for r in got])
+    bits, ends = range_windows(context, span, doc), np.cumsum(sizes)
+    rows = [(g, at, 1, n, squeeze(bits[e - n : e])) for (g, at, n, *_), e in zip(got, ends.tolist())]
+    bucket = int(table["bucket"][0].as_py())
+    grams = np.ascontiguousarray(context[:, LEFT : LEFT + GRAM]).view(f"S{GRAM}").ravel()
+    edge = splitters[max(bucket - 1, 0) : bucket + 1].astype(f"S{GRAM}")
+    near = np.flatnonzero(np.isin(grams, edge))
+    count = span[near, 0].astype(np.int64) - span[near, 1] + 1
+    own, shift = np.repeat(near, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    left = (bits[own] >> shift.astype(np.uint64) & np.uint64(1)) == 0
+    own, shift = own[left], shift[left]
+    start = LEFT - span[own, 0].astype(np.int64) + shift
+    windows = context[own[:, None], start[:, None] + np.arange(SPAN)] if len(own) else np.empty((0, SPAN), np.uint8)
+    part = np.searchsorted(ends, own, side="right")
+    g, at = np.array([r[0] for r in got], np.int64)[part], np.array([r[1] for r in got], np.int64)[part] + own - (ends - sizes)[part]
+    text = pa.Array.from_buffers(pa.binary(SPAN), len(own), [None, pa.py_buffer(np.ascontiguousarray(windows))]).cast(pa.binary())
+    bounds = pa.table([pa.array(g), pa.array(at), pa.array(np.full(len(own), 2)), pa.array(shift), pa.nulls(len(own), pa.binary()), text, pa.array(doc[own])], names=RANGE_NAMES)
+    told = as_table(rows, ANSWERS)
+    return pa.concat_tables([pa.table([*told.columns, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names=RANGE_NAMES), bounds])
+
+
+def cut_rows(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Step 7, from a group: (doc_id, n_bytes, spans, kept) for each document."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names, types = ["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), kind, pa.large_binary()]
     if not docs.num_rows:
         return pa.table([pa.array([], t) for t in types[:3]] + [pa.array([], pa.binary())], names=names)
-    group, by_step = Group(docs), ({}, {})
-    for b, s, blob in zip(*(replies[c].to_pylist() for c in ("bucket", "step", "blob"))):
-        by_step[s][b] = blob
-    answered(group, by_step[0], buckets)
-    bucket = ranges(group.context, splitters)
-    bits = np.zeros(len(bucket), np.uint64)
-    for b, blob in by_step[1].items():
-        own = slice(*np.searchsorted(bucket, [b, b + 1]).tolist())
-        bits[own] = swell(blob, 8 * (own.stop - own.start)).view(np.uint64)
+    group, heard, told = Group(docs), {}, []
+    step = replies["step"].to_numpy()
+    for at, s, n, blob in zip(*(replies.filter(pa.array(step < 2))[c].to_pylist() for c in ("at", "step", "n", "blob"))):
+        if s:
+            told.append((at, n, blob))
+        else:
+            heard[at] = blob
+    answered(group, heard, buckets)
+    bits = np.zeros(len(group.context), np.uint64)
+    for at, n, blob in told:
+        bits[at : at + n] = swell(blob, 8 * n).view(np.uint64)
+    across = replies.filter(pa.array(step == 2))
+    np.bitwise_or.at(bits, across["at"].to_numpy(), np.uint64(1) << across["n"].to_numpy().astype(np.uint64))
     # an occurrence in the record's own document has the record's bits; one in a later document all
     k = group.kept
     count = group.high[k] - group.low[k] + 1
@@ -389,9 +407,12 @@ def cut_rows(docs: pa.Table, replies: pa.Table, buckets: int, splitters: np.ndar
     return pa.table([pa.array(group.ids), pa.array(np.diff(group.offsets)), spans, kept.cast(pa.binary())], names=names)
 
 
-HASH_ROWS = "bucket long, g long, n long, keys binary, flags binary, lead binary"
-RECORDS = "bucket long, g long, n long, context binary, span binary, least binary"
-ANSWERS = "g long, bucket long, step long, blob binary, lead binary"
+HASH_ROWS = "bucket long, g long, n long, keys binary, flags binary"
+ANSWERS = "g long, at long, step long, n long, blob binary"
+RECORDS = "g long, at long, n long, context binary, span binary, least binary, lead binary"
+ROUTED = "bucket long, g long, at long, n long, context binary, span binary, least binary"
+RANGE_ANSWERS = f"{ANSWERS}, window binary, doc long"
+RANGE_NAMES = [f.split()[0] for f in RANGE_ANSWERS.split(", ")]
 
 
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
@@ -400,6 +421,17 @@ def as_table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(list(c), pa.int64() if t == "long" else pa.binary()) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def sampled(records: DataFrame) -> tuple[np.ndarray, int]:
+    """The splitters, keys of sampled records in order, and the number of ranges that they make."""
+    about = records.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    total = about.n or 0
+    ranges = max(1, -(-total // min(MOST_RECORDS, max(RANGE_RECORDS, total // MANY))))
+    some = records.where(F.pmod(F.xxhash64("g", "at"), F.lit(max(1, -(-about.rows // SAMPLE_ROWS)))) == 0).select("lead").collect()
+    keys = np.sort(np.frombuffer(b"".join(bytes(r.lead) for r in some), f"S{WIDE}"))
+    splitters = np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if len(keys) else keys
+    return splitters, len(splitters) + 1
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (array of byte start and end of maximal removed runs) and kept (the remaining bytes) for every row.
 
@@ -411,17 +443,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = rows.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // min(MOST_BYTES, max(GROUP_BYTES, total // MANY))))
-    buckets = groups
     docs = packed(known, groups).repartition(groups, "g")
-    heard = docs.groupBy("g").applyInArrow(lambda t: hash_rows(t, buckets), HASH_ROWS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(hash_answers, ANSWERS)
+    heard = docs.groupBy("g").applyInArrow(lambda t: hash_rows(t, groups), HASH_ROWS).repartition(groups, "bucket").groupBy("bucket").applyInArrow(hash_answers, ANSWERS)
     heard = common.written(heard, "repeated-grams")
-    n = heard.count()
-    sample = heard.where(F.pmod(F.xxhash64("g", "bucket"), F.lit(max(1, -(-n // SAMPLE_ROWS)))) == 0).select("lead").collect()
-    leads = np.sort(np.frombuffer(b"".join(bytes(r.lead) for r in sample), np.uint64))
-    splitters = np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) else np.empty(0, np.uint64)
-    records = docs.groupBy("g").cogroup(heard.repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: record_rows(a, b, buckets, splitters), RECORDS)
-    bits = records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(record_answers, ANSWERS)
-    out = docs.groupBy("g").cogroup(heard.union(bits).repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: cut_rows(a, b, buckets, splitters), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    records = docs.groupBy("g").cogroup(heard.repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: record_rows(a, b, groups), RECORDS)
+    records = common.written(records, "records")
+    splitters, ranges = sampled(records)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "at", "n", "context", "span", "least"))):
+                yield from as_table(routed(row, splitters), ROUTED).to_batches()
+
+    parted = records.drop("lead").mapInArrow(route, ROUTED).repartition(ranges, "bucket")
+    told = common.written(parted.groupBy("bucket").applyInArrow(lambda t: range_answers(t, splitters), RANGE_ANSWERS), "ranges")
+    # windows on both sides of a boundary meet by their bytes; a range sends each window's least document only
+    border = told.where("step = 2").select("g", "at", "step", "n", "blob", "window", "doc")
+    least = border.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
+    across = border.join(least, "window").where("doc > least").select("g", "at", "step", "n", "blob")
+    replies = heard.union(told.where("step = 1").select("g", "at", "step", "n", "blob")).union(across)
+    out = docs.groupBy("g").cogroup(replies.repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: cut_rows(a, b, groups), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     whole = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     return out.union(whole)
 

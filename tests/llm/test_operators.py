@@ -230,8 +230,11 @@ def repeats(df):
     return sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found.collect()), key=str)
 
 
-def test_repeats_fuzz(spark, monkeypatch):
+@pytest.mark.parametrize("records", [1 << 16, 40])
+def test_repeats_fuzz(spark, monkeypatch, records):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 40_000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_RECORDS", records)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_RECORDS", min(records, 8192))
     rng = random.Random(2)
     base = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 300))) for _ in range(10)]
     pick = [lambda: rng.choice(base), lambda: "a" * rng.randint(0, 200), lambda: "é" * rng.randint(0, 60), lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120)))]
@@ -248,6 +251,37 @@ def test_repeats_documents_and_odd_rows(documents, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_a_frequent_beginning_is_parted(spark, monkeypatch):
+    """A third of the records begin with the same 60 bytes: they lie in many ranges, and are compared across their boundaries."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 30_000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_RECORDS", 64)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_RECORDS", 16)
+    rng, sizes = random.Random(3), []
+    hot = "the quick brown fox jumps over the lazy dog and then some more of it "
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    rows = [(k, " ".join(word() for _ in range(20)) + " " + (hot * rng.randint(1, 2) if k % 3 else "") + " ".join(word() for _ in range(10))) for k in range(600)]
+    rows += [(1000 + k, rows[rng.randrange(600)][1][rng.randrange(60) :]) for k in range(200)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    split = suffix_dedup.sampled
+
+    def watched(records):
+        out = split(records)
+        sizes.append(out)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "sampled", watched)
+    assert repeats(df) == brute_repeats(rows)
+    splitters, ranges = sizes[0]
+    grams = [bytes(x)[:16] for x in splitters]
+    assert ranges > 20 and max(grams.count(g) for g in grams) >= 3  # one gram takes up more than one whole range
+
+
+def test_common_prefixes():
+    rows = np.array(sorted([list(b"aab"), list(b"aab"), list(b"abb"), list(b"bbb")]), np.uint8)
+    assert suffix_dedup.common_prefixes(rows).tolist() == [0, 3, 1, 0]
+    assert suffix_dedup.common_prefixes(rows[:0]).tolist() == []
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 3, (500, 4)).astype(">u8")
