@@ -33,7 +33,9 @@ LEFT = SPAN - GRAM  # bytes before an anchor that its windows may have; they are
 WIDE = LEFT + SPAN
 #: Text bytes of a group; beyond MANY groups they grow up to the most.
 GROUP_BYTES, MANY, MOST_BYTES = 8 << 20, 4096, 256 << 20
-FLUSH, CHUNK = 24 << 20, 1 << 18
+FLUSH, CHUNK = 24 << 20, 1 << 17
+#: Buckets of hashes: as many as groups, and so many at least.
+LEAST_BUCKETS = 256
 #: Records of a chunk and of a range; beyond MANY ranges they grow up to the most.
 CHUNK_RECORDS, RANGE_RECORDS, MOST_RECORDS = 8192, 1 << 16, 1 << 21
 #: Records that the splitters are taken from: so many of each chunk, of at most so many chunks.
@@ -381,14 +383,16 @@ def cut_rows(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     # an occurrence in the record's own document has the record's bits; one in a later document all
     k = group.kept
     count = group.high[k] - group.low[k] + 1
-    own = np.repeat(np.arange(len(k)), count)
-    shift = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     later = group.ids[group.doc[k]] > group.least[group.record] if len(k) else np.empty(0, bool)
-    hit = later[own] | ((bits[group.record][own] >> shift.astype(np.uint64)) & np.uint64(1)).astype(bool) if len(k) else np.empty(0, bool)
-    start = group.low[k][own][hit] + shift[hit]
     depth = np.zeros(len(group.data) + 1, np.int32)
-    depth[start] += 1  # a start is in one window of one anchor only
-    depth[start + SPAN] -= 1
+    for x in range(0, len(k), CHUNK):  # in portions, since each anchor has many windows
+        part = slice(x, x + CHUNK)
+        own = np.repeat(np.arange(len(count[part]), dtype=np.int32), count[part])
+        shift = np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(count[part]) - count[part]).astype(np.int32), count[part])
+        hit = later[part][own] | ((bits[group.record[part]][own] >> shift.astype(np.uint64)) & np.uint64(1)).astype(bool)
+        start = group.low[k[part]][own[hit]] + shift[hit]
+        depth[start] += 1  # a start is in one window of one anchor only
+        depth[start + SPAN] -= 1
     gone = np.cumsum(depth)[:-1] > 0
     keep = group.data[~gone]
     left = np.r_[0, np.cumsum(~gone)][group.offsets]
@@ -415,6 +419,24 @@ RANGE_ANSWERS = f"{ANSWERS}, window binary, doc long"
 RANGE_NAMES = [f.split()[0] for f in RANGE_ANSWERS.split(", ")]
 
 
+def freeing(step, tables: tuple, fixed: tuple) -> pa.Table:
+    """A step that gives freed memory back when it is done: workers go on to other groups and stages."""
+    try:
+        return step(*tables, *fixed)
+    finally:
+        common.trim()
+
+
+def one(step, *fixed):
+    """A step over one group, with what is the same for all groups."""
+    return lambda t: freeing(step, (t,), fixed)
+
+
+def two(step, *fixed):
+    """A step over two groups of one key."""
+    return lambda a, b: freeing(step, (a, b), fixed)
+
+
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
@@ -443,10 +465,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = rows.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // min(MOST_BYTES, max(GROUP_BYTES, total // MANY))))
+    buckets = max(groups, LEAST_BUCKETS)
     docs = packed(known, groups).repartition(groups, "g")
-    heard = docs.groupBy("g").applyInArrow(lambda t: hash_rows(t, groups), HASH_ROWS).repartition(groups, "bucket").groupBy("bucket").applyInArrow(hash_answers, ANSWERS)
+    heard = docs.groupBy("g").applyInArrow(one(hash_rows, buckets), HASH_ROWS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(one(hash_answers), ANSWERS)
     heard = common.written(heard, "repeated-grams")
-    records = docs.groupBy("g").cogroup(heard.repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: record_rows(a, b, groups), RECORDS)
+    records = docs.groupBy("g").cogroup(heard.repartition(groups, "g").groupBy("g")).applyInArrow(two(record_rows, buckets), RECORDS)
     records = common.written(records, "records")
     splitters, ranges = sampled(records)
 
@@ -456,13 +479,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield from as_table(routed(row, splitters), ROUTED).to_batches()
 
     parted = records.drop("lead").mapInArrow(route, ROUTED).repartition(ranges, "bucket")
-    told = common.written(parted.groupBy("bucket").applyInArrow(lambda t: range_answers(t, splitters), RANGE_ANSWERS), "ranges")
+    told = common.written(parted.groupBy("bucket").applyInArrow(one(range_answers, splitters), RANGE_ANSWERS), "ranges")
     # windows on both sides of a boundary meet by their bytes; a range sends each window's least document only
     border = told.where("step = 2").select("g", "at", "step", "n", "blob", "window", "doc")
     least = border.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     across = border.join(least, "window").where("doc > least").select("g", "at", "step", "n", "blob")
     replies = heard.union(told.where("step = 1").select("g", "at", "step", "n", "blob")).union(across)
-    out = docs.groupBy("g").cogroup(replies.repartition(groups, "g").groupBy("g")).applyInArrow(lambda a, b: cut_rows(a, b, groups), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    out = docs.groupBy("g").cogroup(replies.repartition(groups, "g").groupBy("g")).applyInArrow(two(cut_rows, buckets), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     whole = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     return out.union(whole)
 
