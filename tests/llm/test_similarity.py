@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from test_operators import brute_print
 
 from docketry.llm import common, similarity
@@ -52,7 +53,10 @@ def planted(seed=7):
     return list(enumerate(rows))
 
 
-def test_stage_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_stage_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "SHINGLES", 1000 * block)
     rows = planted()
     want, beyond = brute_firsts(rows)
     assert beyond > 50
