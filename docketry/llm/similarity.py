@@ -5,11 +5,11 @@ about seven times in a million, others less. Texts with equal sets are one node.
 
 1. every node is verified against one other, the one with the most company that it shares a band with, which joins most of a group;
 2. what still stands in different components is compared, band by band, by sketches of the 150 minima, a byte each. A pair at 0.8 is
-   4.6 standard deviations above what is let through, so about two in a million are lost;
-3. what is let through is verified on the whole sets, cluster by cluster, where each set is sent once and not with every pair.
+   4.6 standard deviations above what is let through, so about two in a million are lost. What is let through is verified on the
+   whole sets there and then, and only links are written: never a pair that was only proposed.
 
-Large bands and clusters are cut into blocks, and a group holds two blocks, so none is held by one task, and pairs are only written
-where they pass.
+Clusters are what bands hang together, found over one link for each node of a band. Each node's set is sent once to its cluster; large
+clusters are cut into blocks, and a group holds two blocks of one, so none is held by one task.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from docketry.llm import common, simhash
 from docketry.llm.components import components
 
 BANDS, ROWS = 30, 5
-#: Least share of equal sketch bytes; rows of a block; rows and shingles of a group of small bands or clusters (about).
-LEAST, BLOCK, TOGETHER, SHINGLES = 0.65, 1024, 20_000, 1_000_000
+#: Least share of equal sketch bytes; nodes of a block; shingles of a block, and of the small clusters of a group (about).
+LEAST, BLOCK, SHINGLES = 0.65, 1024, 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 FACTORS, MASKS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -139,29 +139,45 @@ def placed(rows: DataFrame, key: str, count: str, item: str, groups: int) -> Dat
     return rows.withColumn("_t", F.explode(F.expr(f"sequence(0, cast({count} as int) - 1)"))).withColumns({"i": F.least("block", "_t"), "j": F.greatest("block", "_t")}).drop("_t")
 
 
-def met(table: pa.Table) -> pa.Table:
-    """Of the bands of a group, the pairs in different components whose sizes allow the similarity and whose sketches agree."""
-    key, node, size, root, block = (table[c].to_numpy() for c in ("key", "node", "size", "root", "block"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(key), -1)
-    across = len(key) and table["i"][0].as_py() != table["j"][0].as_py()
-    order = np.lexsort((node, key))
-    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+def linked(rows: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of the bands of a group, links between components: pairs whose sizes allow the similarity, whose sketches agree and whose sets
+    have it; pairs that earlier links of the group join already are left out."""
     a, b = [], []
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        own = order[x:y]
-        for k, r in enumerate(own[:-1].tolist()):
-            rest = own[k + 1 :]
-            ok = (root[rest] != root[r]) & (5 * np.minimum(size[rest], size[r]) >= 4 * np.maximum(size[rest], size[r]))
-            if across:
-                ok &= block[rest] != block[r]
-            rest = rest[ok]
-            if len(rest):
-                rest = rest[(sketch[rest] == sketch[r]).sum(1) >= LEAST * sketch.shape[1]]
-                a.append(np.full(len(rest), node[r]))
-                b.append(node[rest])
-    a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, b))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    if rows.num_rows:
+        key, root, block = (rows[c].to_numpy() for c in ("key", "root", "block"))
+        names, lists = sets["node"].to_numpy(), sets["shingles"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        by_name = np.argsort(names)
+        at = by_name[np.searchsorted(names[by_name], rows["node"].to_numpy())]  # each row's set
+        sketch, size = np.frombuffer(b"".join(sets["sketch"].to_pylist()), np.uint8).reshape(len(names), -1), np.diff(ends)
+        roots, own_root = np.unique(root, return_inverse=True)
+        top, failed = np.arange(len(roots)), set()
+        across = rows["i"][0].as_py() != rows["j"][0].as_py()
+        order = np.lexsort((names[at], key))
+        cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = order[x:y]
+            for k, r in enumerate(own[:-1].tolist()):
+                rest = own[k + 1 :]
+                ok = top[own_root[rest]] != top[own_root[r]]
+                if across:
+                    ok &= block[rest] != block[r]
+                rest = rest[ok]
+                rest = rest[5 * np.minimum(size[at[rest]], size[at[r]]) >= 4 * np.maximum(size[at[rest]], size[at[r]])]
+                if not len(rest):
+                    continue
+                p = int(at[r])
+                for o in rest[(sketch[at[rest]] == sketch[p]).sum(1) >= LEAST * sketch.shape[1]].tolist():
+                    q = int(at[o])
+                    if top[own_root[o]] == top[own_root[r]] or (p, q) in failed:
+                        continue
+                    if alike(flat[ends[p] : ends[p + 1]], flat[ends[q] : ends[q + 1]]):
+                        a.append(names[p])
+                        b.append(names[q])
+                        top[top == top[own_root[o]]] = top[own_root[r]]
+                    else:
+                        failed.add((p, q))
+    return pa.table([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
 
 def settled(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -200,11 +216,17 @@ def similar_roots(df: DataFrame, docs: DataFrame, known: DataFrame, text_col: st
     sets = sets_of(df, nodes.join(members.select("node").distinct(), "node", "left_semi").select("content"), text_col)
     links = known.union(verified(first_pairs(members), sets))
     rows = still_open(members, links)
-    total = rows.count()
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).join(nodes.select("node", "sketch"), "node")
-    rows = placed(rows, "key", "blocks", "node", -(-total // TOGETHER) or 1)
-    pairs = rows.groupBy("bin", "i", "j").applyInArrow(met, "a long, b long").distinct()
-    return components(links.union(verified(pairs, sets)))
+    first = rows.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = components(rows.join(first, "key").where("a != node").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    held = clusters.join(nodes.select("node", "size", "sketch"), "node")
+    sized = common.written(held.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / SHINGLES)).alias("blocks"), F.sum("size").alias("total")), "clusters")
+    groups = int(-(-(sized.agg(F.sum("total")).first()[0] or 0) // SHINGLES)) or 1
+    blocks = sized.select("cluster", "blocks")
+    left = placed(rows.join(clusters, "node").join(blocks, "cluster"), "cluster", "blocks", "node", groups).select("bin", "i", "j", "key", "node", "root", "block")
+    right = placed(held.join(blocks, "cluster"), "cluster", "blocks", "node", groups).select("bin", "i", "j", "node", "sketch").join(sets, "node")
+    place = ["bin", "i", "j"]
+    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(linked, "a long, b long")
+    return components(links.union(common.written(found, "similar")))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
