@@ -1,7 +1,7 @@
 """Metadata headers of markdown documents, as column expressions.
 
 A header is what stands between a first line `---` and the next one. Values are scalars or lists; both are kept in one map of
-arrays, a scalar being a list of one. Columns are nullable only where the input is: a missing key gives '' or an empty list.
+structs (list, v): an array of values, and whether they were given as a list. Columns are nullable only where the input is: a missing key gives '' or an empty list.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def unquoted(c: Column) -> Column:
 
 
 def parse_frontmatter(raw: Column) -> Column:
-    """MAP of key to ARRAY of values. Later values of a key win, nested keys are taken as keys, list items that follow no open
-    key are dropped, an open key without items is an empty scalar ([''])."""
+    """MAP of key to (list, v). Later values of a key win, nested keys are taken as keys, list items that follow no open
+    key are dropped, an open key without items is an empty scalar."""
     pair = "struct<k:string,v:array<string>,open:boolean>"
     start = F.struct(F.array().cast(f"array<{pair}>").alias("done"), F.lit(None).cast(pair).alias("now"))
 
@@ -69,18 +69,19 @@ def parse_frontmatter(raw: Column) -> Column:
     def close(acc: Column) -> Column:
         every = F.when(acc["now"].isNotNull(), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
         last = F.filter(every, lambda x, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda y: y["k"] == x["k"]))
-        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], F.when(F.size(x["v"]) == 0, F.array(F.lit(""))).otherwise(x["v"]))))
+        value = lambda x: F.struct((x["open"] & (F.size(x["v"]) > 0)).alias("list"), F.when(F.size(x["v"]) == 0, F.array(F.lit(""))).otherwise(x["v"]).alias("v"))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], value(x))))
 
     return F.aggregate(header_lines(raw), start, step, close)
 
 
 def scalar(header: Column, key: str) -> Column:
-    """A key's value; '' for a list of several or a missing key."""
-    v = F.try_element_at(header, F.lit(key))
-    return F.when(F.size(v) == 1, v[0]).otherwise(F.lit(""))
+    """A key's value; '' for a list, also of one, or a missing key."""
+    x = F.try_element_at(header, F.lit(key))
+    return F.when(~x["list"], x["v"][0]).otherwise(F.lit(""))
 
 
 def values(header: Column, key: str) -> Column:
-    """A key's values as a list; empty for a missing key."""
-    v = F.try_element_at(header, F.lit(key))
-    return F.coalesce(F.filter(v, lambda x: x != ""), F.array().cast("array<string>"))
+    """A key's values as a list: all items of a list, a scalar that isn't empty as one; empty for a missing key."""
+    x = F.try_element_at(header, F.lit(key))
+    return F.coalesce(F.when(x["list"] | (x["v"][0] != ""), x["v"]), F.array().cast("array<string>"))

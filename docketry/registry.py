@@ -216,7 +216,7 @@ def hamming(spark, sf_dir):
     return e.select("vec_id", knn.distance(F.col("embedding"), q, "hamming").alias("dist"))
 
 
-@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS rowid, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS rowid, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
 def vec_each(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.posexplode("embedding").alias("rowid", "value")).select("vec_id", "rowid", six(F.col("value").cast("double")).alias("value"))
@@ -433,18 +433,18 @@ def known_laws(spark, sf_dir):
     return corpus.laws(spark, sf_dir).select("title")
 
 
-MATCHES = """SELECT law_name, CASE WHEN k BETWEEN 5 AND 44 AND law_name NOT LIKE '구 %' THEN 'Exact' WHEN k BETWEEN 5 AND 44 THEN 'OldVersion' WHEN k = 47 OR k < 5 OR k > 44 THEN
-CASE WHEN t IS NULL THEN 'Unmatched' ELSE 'Substring' END END AS match_type, CASE WHEN k BETWEEN 5 AND 44 THEN 'kr/법' || k || '/법률' ELSE 'kr/' || t || '/법률' END AS law_id
-FROM (SELECT law_name, k, (SELECT min(title) FROM (SELECT '법' || p_partkey AS title FROM part WHERE p_partkey BETWEEN 5 AND 44 UNION ALL SELECT '새법47') WHERE contains(title, '법' || k) OR contains('법' || k, title)) AS t
-FROM (SELECT DISTINCT law_name, replace(replace(law_name, '구 ', ''), '법', '')::INT AS k FROM (""" + STATUTES + """)))"""
+MATCHES = """SELECT law_name, CASE WHEN e IS NOT NULL AND law_name NOT LIKE '구 %' THEN 'Exact' WHEN e IS NOT NULL THEN 'OldVersion' WHEN t IS NULL THEN 'Unmatched' ELSE 'Substring' END AS match_type,
+'kr/' || coalesce(e, t) || '/법률' AS law_id FROM (SELECT law_name, (SELECT min(title) FROM titles WHERE title = name) AS e, (SELECT min(title) FROM titles WHERE contains(title, name) OR contains(name, title)) AS t
+FROM (SELECT DISTINCT law_name, replace(law_name, '구 ', '') AS name FROM (""" + STATUTES + """)), (SELECT 1)) x"""
+TITLES = "titles AS (SELECT '법' || p_partkey AS title FROM part)"
 
 
-@query(f"SELECT * FROM ({MATCHES})")
+@query(f"WITH {TITLES} SELECT * FROM ({MATCHES})")
 def match_tiers(spark, sf_dir):
     return citations.match_laws(statutes(spark, sf_dir), known_laws(spark, sf_dir))
 
 
-@query(f"""WITH m AS ({MATCHES}), r AS (SELECT id, count(*) AS n, count(m.law_id) AS k FROM ({STATUTES}) s LEFT JOIN m USING (law_name) GROUP BY id)
+@query(f"""WITH {TITLES}, m AS ({MATCHES}), r AS (SELECT id, count(*) AS n, count(m.law_id) AS k FROM ({STATUTES}) s LEFT JOIN m USING (law_name) GROUP BY id)
 SELECT o_orderkey AS id, CASE WHEN n = k THEN 'ExactStatuteMatch' WHEN k > 0 THEN 'PartialStatuteMatch' WHEN o_orderkey % 4 != 0 THEN 'CaseRefsOnly' ELSE 'AffinityFallback' END AS resolution
 FROM orders LEFT JOIN r ON r.id = o_orderkey""")
 def resolution(spark, sf_dir):
@@ -609,7 +609,7 @@ def stream_ingest(spark, sf_dir):
     return store.documents().groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_contents"))
 
 
-@query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title, p_brand AS category, (length(p_type) > 0)::INT + 1 AS n_departments FROM part WHERE p_partkey <= 40")
+@query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title, p_brand AS category, (length(p_type) > 0)::INT + 1 AS n_departments FROM part")
 def scan_laws(spark, sf_dir):
     from docketry.sources import files
 
@@ -649,8 +649,31 @@ def tsv_sink(spark, sf_dir):
     return tsv_lines(parts(spark, sf_dir).select("id", "title", "category", "departments"))
 
 
-@query(f"SELECT id, '= 법' || p_partkey || chr(10) || chr(10) || string_agg('===== 제' || n || '조 (목적' || n || ')' || chr(10) || '#strong[' || p_name || '] 제' || n || chr(10), chr(10) ORDER BY n) AS markup FROM ({ARTICLES}) GROUP BY id, p_partkey")
+@query(f"SELECT id, '= 법' || p_partkey || chr(10) || chr(10) || string_agg('===== 제' || n || '조 (목적' || n || ')' || chr(10) || '*' || p_name || '* 제' || n || chr(10) || chr(10), '' ORDER BY n) AS markup FROM ({ARTICLES}) GROUP BY id, p_partkey")
 def markup_sink(spark, sf_dir):
     from docketry.sources.sinks import to_markup
 
     return corpus.laws(spark, sf_dir).select("id", to_markup(F.col("raw")).alias("markup"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN chr(10) ELSE chr(10) || chr(10) END || '#pad(left: 1em)[① ' || p_name || ' \\$5]' || chr(10) || '#pad(left: 2.5em)[1. *' || replace(p_brand, '#', '\\#') || '*]' || chr(10) || chr(10) ||
+'#pad(left: 2.5em)[2.]' || chr(10) || CASE p_size % 3 WHEN 0 THEN '#line(length: 100%)' WHEN 1 THEN '== ' || p_type || ' \\#2' ELSE p_type END || chr(10) || '3. ' || p_mfgr2 || chr(10) AS markup
+FROM (SELECT *, p_partkey || ' \\@ x_y' AS p_mfgr2 FROM part)""")
+def markup_clauses(spark, sf_dir):
+    """Clauses, items, rules and headings without a blank; what ends a clause leaves the item after it plain."""
+    from docketry.sources.sinks import to_markup
+
+    line = F.when(F.col("p_size") % 3 == 0, "---").when(F.col("p_size") % 3 == 1, F.concat(F.lit("##"), "p_type", F.lit(" #2"))).otherwise(F.col("p_type"))
+    raw = F.concat_ws("\n", F.when(F.col("p_size") % 2 == 1, ""), F.concat(F.lit("① "), "p_name", F.lit(" $5")), F.concat(F.lit("  1. **"), "p_brand", F.lit("**")), F.lit(""), F.lit("2. "), line, F.concat(F.lit("3. "), F.col("p_partkey").cast("string"), F.lit(" @ x_y")))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), to_markup(raw).alias("markup"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS given, '' AS listed, '' AS opened, '' AS missing, p_brand || '|' || p_type AS items, p_name AS single, 1 + (p_size % 2)::INT AS n_listed, 0 AS n_opened FROM part""")
+def frontmatter_lists(spark, sf_dir):
+    """Lists of one item are lists: they have no scalar; keys without a value are empty scalars."""
+    p = read(spark, sf_dir, "part")
+    more = F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("\n  - "), "p_type"))
+    raw = F.concat(F.lit("---\ngiven: "), "p_name", F.lit("\nlisted:\n- "), "p_brand", F.coalesce(more, F.lit("")), F.lit("\nopened:\nitems:\n- "), "p_brand", F.lit("\n- '"), "p_type", F.lit("'\n---\nbody"))
+    h = p.select(F.col("p_partkey").alias("id"), FM.parse_frontmatter(raw).alias("h"))
+    s, v = (lambda k: FM.scalar(F.col("h"), k)), (lambda k: FM.values(F.col("h"), k))
+    return h.select("id", *[s(k).alias(k) for k in ("given", "listed", "opened", "missing")], F.array_join(v("items"), "|").alias("items"), F.array_join(v("given"), "|").alias("single"), F.size(v("listed")).alias("n_listed"), F.size(v("opened")).alias("n_opened"))
