@@ -171,11 +171,22 @@ def _hits(c: Column, term: Term) -> Column:
     return F.size(F.filter(c, here))
 
 
+def stemmed_term(t: Term) -> Term:
+    """A term of stems; the last word of a prefix stays as it is."""
+    return Term(tuple(porter(w) for w in t.words[:-1]) + (t.words[-1] if t.prefix else porter(t.words[-1]),), t.prefix, t.negated)
+
+
+def part(n: Column, df: Column, f: Column, dl: Column, avg: Column) -> Column:
+    """What a term adds to a document's BM25; idf is held above 0 as full-text engines do."""
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avg))
+
+
 def search(docs: DataFrame, query: str, id_col: str = "id", columns: dict[str, float] | None = None, limit: int | None = 100, where: Column | None = None, stem: bool = False) -> DataFrame:
     """(id, bm25, score): the documents that hold every term and no negated one, best first, ties by id.
 
-    One pass over the texts counts each term's hits and the corpus figures; figures are of the whole table, `where` restricts
-    the result before the limit. No hits: no rows. idf is held above 0 as full-text engines do.
+    For tables without a stored index (plans.text_index): the texts are read for the figures and for the result. Figures are of the
+    whole table, `where` restricts the result before the limit. No hits: no rows.
     """
     weights = columns or {"body": 1.0}
     terms = parse_query(query)
@@ -183,7 +194,7 @@ def search(docs: DataFrame, query: str, id_col: str = "id", columns: dict[str, f
     if not wanted:
         return docs.select(id_col, F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
     if stem:
-        terms = [Term(tuple(porter(w) for w in t.words[:-1]) + (t.words[-1] if t.prefix else porter(t.words[-1]),), t.prefix, t.negated) for t in terms]
+        terms = [stemmed_term(t) for t in terms]
         wanted = [t for t in terms if not t.negated]
     keep = F.lit(True) if where is None else where
     cols = tuple(weights)
@@ -199,10 +210,7 @@ def search(docs: DataFrame, query: str, id_col: str = "id", columns: dict[str, f
         ok = ok & (F.col(f"_n{k}") == 0 if t.negated else F.col(f"_n{k}") > 0)
     score = F.lit(0.0)
     for j in range(len(wanted)):
-        idf = F.log((F.col("_N") - F.col(f"_df{j}") + 0.5) / (F.col(f"_df{j}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(1e-6)
-        f = F.col(f"_f{j}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
+        score = score + part(F.col("_N"), F.col(f"_df{j}"), F.col(f"_f{j}"), F.col("_dl"), F.col("_avg"))
     out = counted.where(ok).join(F.broadcast(figures)).select(id_col, score.alias("bm25"))
     out = out.withColumn("score", F.col("bm25") / (1 + F.col("bm25"))).orderBy(F.desc("bm25"), id_col)
     return out if limit is None else out.limit(limit)

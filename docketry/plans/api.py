@@ -72,6 +72,6 @@ def law_precedents(index: DataFrame, rulings: DataFrame, law: str, article: str
 
 def similar(rulings: DataFrame, documents: DataFrame, query: str, n: int = 10, limit: int = 20) -> DataFrame:
     """Laws that the best rulings for a query cite, with the path of each law's document."""
-    found = fusion.similar(rulings, citations.extract_statutes(rulings), query, n, limit)
+    found = fusion.similar(rulings, query, n, limit)
     titles = citations.first_by_title(documents).select(F.col("title").alias("law_name"), F.col("path").alias("law_doc_path"))
     return found.join(titles, "law_name", "left").orderBy(F.desc("cite_count"), "law_name", "article")

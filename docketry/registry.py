@@ -17,6 +17,7 @@ from docketry.functions import vector as V
 from docketry.operators import catalog, citations, fts, fusion, knn, persons, segments
 from docketry.plans import corpus, indexing
 from docketry.plans.corpus import SYLLABLES, read
+from docketry.plans.text_index import TextIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,8 +61,47 @@ def one(word: str) -> str:
     return f"len(list_filter(w, lambda x: x = '{word}'))"
 
 
+#: Indices that this session has stored, by what they are of.
+STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, make):
+    """What make() stores, made once a session and data folder: searches then read the stored tables."""
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, kind)
+    if key not in STORED:
+        STORED[key] = make()
+    return STORED[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the documents' texts, unstemmed."""
+
+    def make() -> TextIndex:
+        index = TextIndex(spark, scratch(spark, "text-index"), {"text": 1.0}, "doc_id")
+        index.add(read(spark, sf_dir, "documents"))
+        return index
+
+    return stored(spark, sf_dir, "text", make)
+
+
+def weighted_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of three weighted columns, stemmed."""
+
+    def make() -> TextIndex:
+        index = TextIndex(spark, scratch(spark, "weighted-index"), fts.WEIGHTS, "doc_id", stem=True)
+        path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+        index.add(read(spark, sf_dir, "documents").select("doc_id", path.alias("filepath"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body")))
+        return index
+
+    return stored(spark, sf_dir, "weighted", make)
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", six("bm25").alias("bm25"), six("score").alias("score"))
+
+
 def searched(spark: SparkSession, sf_dir: str, text: str, **more) -> DataFrame:
-    return fts.search(read(spark, sf_dir, "documents"), text, "doc_id", {"text": 1.0}, **more).select("doc_id", six("bm25").alias("bm25"), six("score").alias("score"))
+    return shown(text_index(spark, sf_dir).search(text, **more))
 
 
 @query(bm25_sql([one("thing"), one("than")]))
@@ -86,7 +126,37 @@ def bm25_not(spark, sf_dir):
 
 @query(bm25_sql([one("die")], where="lang = 'de'"))
 def bm25_in_collection(spark, sf_dir):
-    return searched(spark, sf_dir, "die", where=F.col("lang") == "de")
+    return searched(spark, sf_dir, "die", among=read(spark, sf_dir, "documents").where("lang = 'de'"))
+
+
+@query(bm25_sql([one("thing"), one("than")]))
+def bm25_scan(spark, sf_dir):
+    """The same as bm25_search without an index."""
+    return shown(fts.search(read(spark, sf_dir, "documents"), "thing than", "doc_id", {"text": 1.0}))
+
+
+#: Words of the texts that have the stem of `things`, and what the three columns are.
+STEM = "('thing', 'things', 'thinge', 'thinges', 'thinged', 'thinging')"
+WEIGHTED = r"""tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(source || '/' || doc_id), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(substr(text, 1, 60)), '[\p{L}\p{N}]+') AS b,
+regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS c FROM documents), cor AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS avg FROM tok)"""
+
+
+def weighted_sql(test: str) -> str:
+    hit = lambda c: f"len(list_filter({c}, lambda x: {test}))"
+    return f"""WITH {WEIGHTED}, cnt AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, {hit('a')} + {hit('b')} + {hit('c')} AS h, 1.5 * {hit('a')} + 4.0 * {hit('b')} + {hit('c')} AS f FROM tok),
+dfs AS (SELECT sum((h > 0)::INT) AS d FROM cnt),
+sc AS (SELECT doc_id, greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg)) AS s FROM cnt, dfs, cor WHERE h > 0 ORDER BY s DESC, doc_id LIMIT 100)
+SELECT doc_id, round(s, 6) AS bm25, round(s / (1 + s), 6) AS score FROM sc"""
+
+
+@query(weighted_sql(f"x IN {STEM}"))
+def bm25_weighted(spark, sf_dir):
+    return shown(weighted_index(spark, sf_dir).search("things"))
+
+
+@query(weighted_sql("starts_with(x, 'wor')"))
+def bm25_weighted_prefix(spark, sf_dir):
+    return shown(weighted_index(spark, sf_dir).search("wor*"))
 
 
 @query(r"""SELECT t AS term, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(p)::BIGINT AS positions FROM
@@ -96,9 +166,9 @@ def postings(spark, sf_dir):
     return p.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum("pos").alias("positions"))
 
 
-@query()
+@query(bm25_sql([f"len(list_filter(w, lambda x: x IN {STEM}))"]))
 def bm25_stemmed(spark, sf_dir):
-    return searched(spark, sf_dir, "things", stem=True)
+    return shown(fts.search(read(spark, sf_dir, "documents"), "things", "doc_id", {"text": 1.0}, stem=True))
 
 
 # ---- vectors -----------------------------------------------------------------------------------------------------------------
@@ -258,7 +328,18 @@ def hybrid_search(spark, sf_dir):
     e, q = asked(spark, sf_dir)
     docs = read(spark, sf_dir, "documents")
     chunks = e.withColumn("doc_id", F.col("vec_id")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return fusion.hybrid(docs, chunks, "thing than", q, 20, "doc_id", {"text": 1.0}).select("doc_id", six("score").alias("score"))
+    return fusion.fused(text_index(spark, sf_dir).search("thing than"), chunks, q, 20, "doc_id").select("doc_id", six("score").alias("score"))
+
+
+@query(f"""WITH b AS (SELECT item_id, regexp_replace(trim(regexp_replace('passage: ' || text, '[ \\n\\t\\r]+', ' ', 'g')), '^$', '') AS t FROM benchmark), q AS (SELECT 'query: thing than' AS t),
+v AS (SELECT item_id, list_transform(range(0, 384), lambda i: (({FNV} + i) * 403) % 65536 / 65535.0::DOUBLE - 0.5) AS e FROM b), w AS (SELECT list_transform(range(0, 384), lambda i: (({FNV} + i) * 403) % 65536 / 65535.0::DOUBLE - 0.5) AS e FROM q),
+d AS (SELECT item_id, sqrt(greatest(2 - 2 * list_cosine_similarity(v.e, w.e), 0)) AS dist FROM v, w)
+SELECT item_id, round(1 / (1 + dist), 5) AS score FROM d ORDER BY dist, item_id LIMIT 10""")
+def question_search(spark, sf_dir):
+    """The passages nearest to the embedding of a query's text."""
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("item_id").alias("id"), V.fnv_embed(T.passage(F.col("text"))).alias("embedding"))
+    near = knn.flat(passages, fusion.embedded(spark, "thing than"), 10, id_col="item_id")
+    return knn.best_chunk(near, passages, "id", "item_id").select(F.col("id").alias("item_id"), F.round("score", 5).alias("score"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
@@ -485,20 +566,48 @@ SELECT law_name, article, arg_min(detail, rank * 100 + (1 - l_linenumber % 2) *
 GROUP BY law_name, article ORDER BY cite_count DESC, law_name, article LIMIT 20""")
 def cited_laws_ranked(spark, sf_dir):
     best = fusion.ranks(read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id").orderBy(F.desc("o_totalprice"), "id").limit(100), "o_totalprice")
-    return citations.cited_laws(statutes(spark, sf_dir), best)
+    return citations.cited_in(corpus.rulings(spark, sf_dir), best)
 
 
-@query()
+@query(f"""WITH docs AS (SELECT o_orderkey AS id FROM orders), refs AS (SELECT * FROM ({STATUTES})),
+body AS (SELECT id, coalesce((SELECT count(*) FILTER (law_name = '법7') FROM refs r WHERE r.id = d.id), 0) AS a, coalesce((SELECT count(*) FILTER (law_name = '구 법7') FROM refs r WHERE r.id = d.id), 0) AS a2,
+coalesce((SELECT count(*) FILTER (article = '제3조') FROM refs r WHERE r.id = d.id), 0) AS b FROM docs d),
+cnt AS (SELECT id, a + a2 AS f0, b AS f1, {{DL}} AS dl FROM body), dfs AS (SELECT sum((f0 > 0)::INT) AS d0, sum((f1 > 0)::INT) AS d1, count(*) AS n, avg(dl) AS a FROM cnt),
+sc AS (SELECT id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) AS s
+FROM cnt, dfs WHERE f0 > 0 AND f1 > 0),
+r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM sc QUALIFY rank <= 50)
+SELECT law_name, article, arg_min(detail, rank * 100 + (1 - l_linenumber % 2) * 50 + l_linenumber) AS detail, count(*) AS cite_count, count(DISTINCT id) AS ruling_count FROM refs JOIN r USING (id)
+GROUP BY law_name, article ORDER BY cite_count DESC, law_name, article LIMIT 20""")
 def similarity_search(spark, sf_dir):
-    docs = corpus.rulings(spark, sf_dir)
-    return fusion.similar(docs, citations.extract_statutes(docs), "법7 제3조", 50)
+    return fusion.similar(corpus.rulings(spark, sf_dir), "법7 제3조", 50)
+
+
+TYPES = ["", "민사", "형사", "가사", "세무", "일반행정", "특허"]
+SUGGESTED = ", ".join(f"('{t}', {k}, '{term}', '{why}')" for t, terms in citations.AFFINITY.items() for k, (term, why) in enumerate(terms, 1))
 
 
-@query("""WITH t(case_type, rank, search_term) AS (VALUES ('민사', 1, '민법'), ('민사', 2, '상법'), ('민사', 3, '민사소송'), ('민사', 4, '임대차'), ('', 1, '헌법'), ('', 2, '민법'))
-SELECT o_orderkey AS id, rank::INT AS rank, search_term FROM orders JOIN t ON t.case_type = CASE WHEN o_orderpriority = '1-URGENT' THEN '민사' ELSE '' END""")
+@query(f"""WITH t(case_type, rank, search_term, reason) AS (VALUES {SUGGESTED})
+SELECT o_orderkey AS id, rank::INT AS rank, search_term, reason FROM orders JOIN t ON t.case_type = {TYPES}[o_orderkey % 7 + 1]""")
 def affinity(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "민사").otherwise(F.col("o_orderpriority")).alias("case_type"))
-    return citations.affinity(o).select("id", "rank", "search_term")
+    """All types, one row in seven of them unknown."""
+    kind = F.element_at(F.array(*[F.lit(t or "?") for t in TYPES]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("case_type"))
+    return citations.affinity(o).select("id", "rank", "search_term", "reason")
+
+
+@query(f"""WITH {TITLES}, m AS ({MATCHES}), r AS (SELECT id, count(*) AS n, count(m.law_id) AS k, min(m.law_id) AS first_law FROM ({STATUTES}) s LEFT JOIN m USING (law_name) GROUP BY id)
+SELECT o_orderkey AS id, coalesce(n, 0)::INT AS n_refs, coalesce(k, 0)::INT AS n_matched, first_law, (CASE WHEN o_orderkey % 4 != 0 THEN 2 ELSE 0 END)::INT AS n_cases, 2 AS n_suggested,
+CASE WHEN n = k THEN 'ExactStatuteMatch' WHEN k > 0 THEN 'PartialStatuteMatch' WHEN o_orderkey % 4 != 0 THEN 'CaseRefsOnly' ELSE 'AffinityFallback' END AS resolution FROM orders LEFT JOIN r ON r.id = o_orderkey""")
+def cross_reference(spark, sf_dir):
+    rows = citations.cross_reference(corpus.rulings(spark, sf_dir), known_laws(spark, sf_dir))
+    laws = F.filter(F.transform("law_matches", lambda x: x["law_id"]), lambda x: x.isNotNull())
+    return rows.select("id", F.size("statute_refs").alias("n_refs"), F.size(laws).alias("n_matched"), F.array_min(laws).alias("first_law"), F.size("case_refs").alias("n_cases"), F.size("affinity").alias("n_suggested"), "resolution")
+
+
+@query(f"""SELECT '법' || p_partkey AS title, count(DISTINCT s.id) AS n_rulings FROM part LEFT JOIN ({STATUTES}) s ON s.law_name = '법' || p_partkey GROUP BY p_partkey""")
+def laws_with_counts(spark, sf_dir):
+    laws = corpus.laws(spark, sf_dir).select("id", "title")
+    return citations.with_counts(laws, citations.citation_index(statutes(spark, sf_dir))).select("title", "n_rulings")
 
 
 # ---- catalog -----------------------------------------------------------------------------------------------------------------
