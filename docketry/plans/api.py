@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.frontmatter import strip_frontmatter
 from docketry.operators import catalog, citations, fusion, persons, segments
+from docketry.plans.indexing import Store
 
 
 def list_laws(laws: DataFrame, category: str | None = None, department: str | None = None, bookmarks: DataFrame | None = None, newest: bool = False, limit: int | None = None) -> DataFrame:
@@ -75,3 +76,48 @@ def similar(rulings: DataFrame, documents: DataFrame, query: str, n: int = 10, l
     found = fusion.similar(rulings, query, n, limit)
     titles = citations.first_by_title(documents).select(F.col("title").alias("law_name"), F.col("path").alias("law_doc_path"))
     return found.join(titles, "law_name", "left").orderBy(F.desc("cite_count"), "law_name", "article")
+
+
+def staged_counts(rulings: DataFrame) -> DataFrame:
+    """(case_type, court_level, n)."""
+    return rulings.groupBy("case_type", "court_level").agg(F.count("*").alias("n"))
+
+
+def status(store: Store) -> DataFrame:
+    """(collection, n, n_contents, last_batch) of the active documents."""
+    return store.documents().groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_contents"), F.max("batch").alias("last_batch"))
+
+
+#: Fixed names of the collections, in the order in which they are indexed.
+COLLECTIONS = ("laws", "precedents", "admrules", "ordinances")
+
+
+def sync(store: Store, files: dict[str, DataFrame], batch: int) -> DataFrame:
+    """Brings the collections that files (path, text, size, mtime) are given for up to date, in one batch; what is no longer among
+    a collection's files has gone. Returns (collection, changed, gone)."""
+    unknown = set(files) - set(COLLECTIONS)
+    if unknown or not files:
+        raise ValueError(f"collections are {', '.join(COLLECTIONS)}")
+    rows = [files[c].select(F.lit(c).alias("collection"), "path", "text", "size", "mtime") for c in COLLECTIONS if c in files]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    done = store.index(every, batch, tombstones=True)
+    return done.groupBy("collection").agg(F.count_if("active").alias("changed"), F.count_if(~F.col("active")).alias("gone"))
+
+
+def index_all(store: Store, files: dict[str, DataFrame], batch: int) -> DataFrame:
+    """sync() of all four collections."""
+    if set(files) != set(COLLECTIONS):
+        raise ValueError(f"files are needed for {', '.join(COLLECTIONS)}")
+    return sync(store, files, batch)
+
+
+def reset(store: Store) -> None:
+    """Removes what was indexed; the files stay."""
+    store.reset()
+
+
+def search(store: Store, query: str, collection: str | None = None, semantic: bool = True, limit: int = 20) -> DataFrame:
+    """Documents for a query, by text and, if wanted, by meaning."""
+    return store.hybrid(query, collection, limit) if semantic else store.search(query, collection, limit).select("id", "score")

@@ -15,7 +15,7 @@ from docketry.functions import frontmatter as FM
 from docketry.functions import text as T
 from docketry.functions import vector as V
 from docketry.operators import catalog, citations, fts, fusion, knn, persons, segments
-from docketry.plans import corpus, indexing
+from docketry.plans import api, corpus, indexing
 from docketry.plans.corpus import SYLLABLES, read
 from docketry.plans.text_index import TextIndex
 
@@ -234,7 +234,11 @@ def rescore_knn(spark, sf_dir):
     return knn.rescore(e, q, 10).select("vec_id", six("dist").alias("dist"))
 
 
-@query()
+BYTES = "list_transform({}::DOUBLE[], lambda x: least(greatest(trunc((x + 1.0) / (2.0 / 255.0) - 128.0), -128), 127))"
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding FROM (SELECT vec_id, embedding, list_distance({BYTES.format('embedding')}, {BYTES.format(QUERY)}) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 80)
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], {QUERY}), 6) AS dist FROM c ORDER BY list_distance(embedding::DOUBLE[], {QUERY}), vec_id LIMIT 10""")
 def rescore_knn_int8(spark, sf_dir):
     e, q = asked(spark, sf_dir)
     return knn.rescore(e, q, 10, quantizer="int8").select("vec_id", six("dist").alias("dist"))
@@ -569,13 +573,15 @@ def cited_laws_ranked(spark, sf_dir):
     return citations.cited_in(corpus.rulings(spark, sf_dir), best)
 
 
-@query(f"""WITH docs AS (SELECT o_orderkey AS id FROM orders), refs AS (SELECT * FROM ({STATUTES})),
-body AS (SELECT id, coalesce((SELECT count(*) FILTER (law_name = '법7') FROM refs r WHERE r.id = d.id), 0) AS a, coalesce((SELECT count(*) FILTER (law_name = '구 법7') FROM refs r WHERE r.id = d.id), 0) AS a2,
-coalesce((SELECT count(*) FILTER (article = '제3조') FROM refs r WHERE r.id = d.id), 0) AS b FROM docs d),
-cnt AS (SELECT id, a + a2 AS f0, b AS f1, {{DL}} AS dl FROM body), dfs AS (SELECT sum((f0 > 0)::INT) AS d0, sum((f1 > 0)::INT) AS d1, count(*) AS n, avg(dl) AS a FROM cnt),
+@query(f"""WITH refs AS (SELECT * FROM ({STATUTES})),
+cited AS (SELECT id, count(*) FILTER (law_name IN ('법7', '구 법7')) AS f0, count(*) FILTER (article = '제3조') AS f1,
+1 + max(l_linenumber % 2) + max(1 - l_linenumber % 2) + sum(3 + (law_name LIKE '구 %')::INT + CASE WHEN l_linenumber = 2 THEN 6 ELSE 0 END) AS words FROM refs GROUP BY id),
+cnt AS (SELECT o_orderkey AS id, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, 26 + len(regexp_extract_all(o_orderpriority, '[A-Z0-9]+')) + CASE WHEN o_orderkey % 4 != 0 THEN 16 ELSE 0 END + coalesce(words, 0) AS dl
+FROM orders LEFT JOIN cited ON id = o_orderkey),
+dfs AS (SELECT sum((f0 > 0)::INT) AS d0, sum((f1 > 0)::INT) AS d1, count(*) AS n, avg(dl) AS a FROM cnt),
 sc AS (SELECT id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) AS s
 FROM cnt, dfs WHERE f0 > 0 AND f1 > 0),
-r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM sc QUALIFY rank <= 50)
+r AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 50)
 SELECT law_name, article, arg_min(detail, rank * 100 + (1 - l_linenumber % 2) * 50 + l_linenumber) AS detail, count(*) AS cite_count, count(DISTINCT id) AS ruling_count FROM refs JOIN r USING (id)
 GROUP BY law_name, article ORDER BY cite_count DESC, law_name, article LIMIT 20""")
 def similarity_search(spark, sf_dir):
@@ -718,6 +724,41 @@ def stream_ingest(spark, sf_dir):
     return store.documents().groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_contents"))
 
 
+def small_store(spark: SparkSession, sf_dir: str) -> indexing.Store:
+    """A store of the benchmark items as two collections: indexed, then one changed, one gone, one added."""
+
+    def make() -> indexing.Store:
+        b = read(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("collection"), F.col("item_id").cast("string").alias("path"), F.concat(F.lit("# item "), F.col("item_id").cast("string"), F.lit("\n"), "text").alias("text"), "item_id")
+        rows = lambda d, when: d.select("collection", "path", "text", F.octet_length("text").cast("long").alias("size"), F.lit(when).cast("long").alias("mtime"))
+        store = indexing.Store(spark, scratch(spark, "small-store"))
+        store.index(rows(b.where("item_id != 5"), 1), 1)
+        store.index(rows(b.where("item_id != 2").withColumn("text", F.when(F.col("item_id") == 3, F.concat("text", F.lit(" zebra zebra"))).otherwise(F.col("text"))), 2), 2, tombstones=True)
+        return store
+
+    return stored(spark, sf_dir, "store", make)
+
+
+@query("""SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, count(*) AS n, count(DISTINCT text) AS n_contents FROM (SELECT item_id, text || (CASE WHEN item_id = 3 THEN 'z' ELSE '' END) || item_id AS text FROM benchmark WHERE item_id != 2) GROUP BY 1""")
+def store_status(spark, sf_dir):
+    """Active documents and contents of each collection."""
+    return api.status(small_store(spark, sf_dir)).select("collection", "n", "n_contents")
+
+
+@query(r"""WITH tok AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower((CASE WHEN item_id % 2 = 0 THEN 'even/' ELSE 'odd/' END) || item_id), '[\p{L}\p{N}]+') || ['item', item_id::VARCHAR, 'item', item_id::VARCHAR] ||
+regexp_extract_all(lower(text || (CASE WHEN item_id = 3 THEN ' zebra zebra' ELSE '' END)), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id != 2),
+cnt AS (SELECT item_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'zebra')) AS f FROM tok), cor AS (SELECT count(*) AS n, avg(dl) AS a, sum((f > 0)::INT) AS d FROM cnt)
+SELECT CASE WHEN item_id % 2 = 0 THEN 'even/' ELSE 'odd/' END || item_id AS id, round(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS bm25 FROM cnt, cor WHERE f > 0""")
+def store_search(spark, sf_dir):
+    """Text search of the stored index sees the versions that are active, and no others."""
+    return small_store(spark, sf_dir).search("zebra").select("id", six("bm25").alias("bm25"))
+
+
+@query("""SELECT o_orderpriority AS case_type, o_orderstatus AS court_level, count(*) AS n FROM orders GROUP BY ALL""")
+def staged_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("case_type"), F.col("o_orderstatus").alias("court_level"))
+    return api.staged_counts(rows)
+
+
 @query("SELECT 'kr/법' || p_partkey || '/법률' AS id, '법' || p_partkey AS title, p_brand AS category, (length(p_type) > 0)::INT + 1 AS n_departments FROM part")
 def scan_laws(spark, sf_dir):
     from docketry.sources import files

@@ -66,3 +66,62 @@ def test_files_and_sinks(spark, tmp_path):
     assert sinks.tsv_lines(df).first().value == "a/b\t1\tx,y\t" and sinks.json_lines(df).first().value == '{"name":"a/b","number":"1","d":["x","y"]}'
     sinks.export_markdown(df.select(F.lit("one").alias("file"), F.lit("# t").alias("raw")), str(tmp_path / "out"))
     assert (tmp_path / "out" / "one").read_text() == "# t"
+
+
+def test_sync_status_reset(spark, tmp_path):
+    from docketry.plans.indexing import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    files = lambda rows: spark.createDataFrame([(p, t, len(t), 1) for p, t in rows], "path string, text string, size long, mtime long")
+    api.sync(store, {"laws": files([("a", "# Reed\nwater and reed"), ("b", "# Owl\nnight")]), "admrules": files([("r", "# Rule\nreed")])}, 1)
+    got = {r.collection: (r.n, r.last_batch) for r in api.status(store).collect()}
+    assert got == {"laws": (2, 1), "admrules": (1, 1)}
+    done = {r.collection: (r.changed, r.gone) for r in api.sync(store, {"laws": files([("a", "# Reed\nwater and reed"), ("c", "# Fox\nreeds")])}, 2).collect()}
+    assert done == {"laws": (1, 1)}
+    once = sorted(r.id for r in store.search("reed").collect())
+    assert once == ["admrules/r", "laws/a", "laws/c"]  # stemmed; what is gone is not found
+    assert [r.id for r in store.search("night").collect()] == []
+    assert sorted(r.id for r in store.search("reed", "laws").collect()) == ["laws/a", "laws/c"]
+    assert {r.id for r in api.search(store, "fox").collect()} >= {"laws/c"} and "laws/b" not in {r.id for r in api.search(store, "fox").collect()}
+    api.sync(store, {"laws": files([("a", "# Reed\nwater and reed"), ("c", "# Fox\nreeds")])}, 2)  # a batch that runs again
+    assert store.read("chunks", store.CHUNKS).count() == 4 and sorted(r.id for r in store.search("reed").collect()) == once
+    with pytest.raises(ValueError, match="collections"):
+        api.sync(store, {"novels": files([("a", "x")])}, 3)
+    with pytest.raises(ValueError, match="needed"):
+        api.index_all(store, {"laws": files([("a", "x")])}, 3)
+    api.reset(store)
+    assert api.status(store).count() == 0 and store.search("reed").count() == 0
+
+
+def test_cached_tables(spark, tmp_path):
+    from docketry.sources import cache
+
+    root, df = str(tmp_path), spark.range(3)
+    assert cache.get(spark, root, "enriched") is None
+    cache.put(df, root, "enriched", now=1000.0)
+    cache.put(spark.range(5), root, "enriched", now=2000.0)
+    assert cache.get(spark, root, "enriched", now=2000.0 + 168 * 3600).count() == 5
+    assert cache.get(spark, root, "enriched", now=2001.0 + 168 * 3600) is None
+    cache.put(df, root, "citations", now=0.0)
+    assert cache.get(spark, root, "citations", count=3).count() == 3 and cache.get(spark, root, "citations", count=4) is None
+
+
+def test_enrich_stream(spark, tmp_path):
+    from docketry.streaming.ingest import enrich_stream
+
+    rows = [(f"법{k}/법률.md", f"---\n제목: 법{k}\n소관부처:\n- 청{k}\n---\n") for k in range(5)]
+    spark.createDataFrame(rows, "path string, raw string").repartition(3).write.parquet(str(tmp_path / "heads"))
+    heads = spark.readStream.schema("path string, raw string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "heads"))
+    enrich_stream(heads, str(tmp_path / "known"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "known"))
+    assert sorted((r.title, r.departments) for r in got.collect()) == [(f"법{k}", [f"청{k}"]) for k in range(5)]
+
+
+def test_cross_reference(spark, rulings):
+    titles = spark.createDataFrame([("민법",), ("형법",)], "title string")
+    got = {r.id: r for r in citations.cross_reference(rulings, titles).collect()}
+    assert got["r1"].resolution == "ExactStatuteMatch" and got["r2"].resolution == "ExactStatuteMatch"
+    assert [(m.article, m.match_type, m.law_id) for m in got["r2"].law_matches] == [("제347조", "OldVersion", "kr/형법/법률"), ("제30조", "OldVersion", "kr/형법/법률")]
+    assert got["r1"].affinity[0].search_term == "민법" and got["r1"].case_refs == []
+    none = citations.cross_reference(rulings.withColumn("raw", F.lit("없음")).withColumn("case_type", F.lit(None).cast("string")), titles).first()
+    assert none.resolution == "AffinityFallback" and none.law_matches == [] and none.affinity[0].search_term == "헌법"
