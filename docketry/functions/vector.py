@@ -30,6 +30,31 @@ def vec_int8(text: Column) -> Column:
     return F.when((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | (x < -128) | (x > 127)), v.cast("array<tinyint>"))
 
 
+def vec_bit(c: Column) -> Column:
+    """Bytes as a bit vector; null if there are none."""
+    return F.when(F.octet_length(c) > 0, c)
+
+
+def vec_version() -> Column:
+    return F.lit("v1.0.0")
+
+
+def vec_debug() -> Column:
+    return F.lit("Version: v1.0.0\nBuilt for: Spark expressions over arrays and binary columns")
+
+
+def bits_of(c: Column, most_first: bool = False) -> Column:
+    """The bits of a bit vector as an array of 0 and 1, the least bit of each byte first unless most_first."""
+    octets = F.transform(F.regexp_extract_all(F.hex(c), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    places = F.array(*[F.lit(k) for k in (range(7, -1, -1) if most_first else range(8))])
+    return F.flatten(F.transform(octets, lambda b: F.transform(places, lambda k: F.call_function("shiftright", b, k).bitwiseAND(1))))
+
+
+def vec_each(c: Column, bit: bool = False) -> Column:
+    """Array of (rowid, value) for each element; bit vectors are read from the most bit of each byte on."""
+    return F.transform(bits_of(c, True) if bit else c, lambda x, i: F.struct(i.alias("rowid"), x.alias("value")))
+
+
 def vec_length(c: Column, bit: bool = False) -> Column:
     return (F.octet_length(c) * 8 if bit else F.size(c)).cast("int")
 
@@ -76,6 +101,18 @@ def vec_add_int8(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (F.pmod(x.cast("int") + y.cast("int") + 128, F.lit(256)) - 128).cast("tinyint"))
 
 
+def vec_sub_int8(a: Column, b: Column) -> Column:
+    """Differences that wrap at a byte."""
+    return F.zip_with(a, b, lambda x, y: (F.pmod(x.cast("int") - y.cast("int") + 128, F.lit(256)) - 128).cast("tinyint"))
+
+
+def vec_slice_bit(c: Column, start: int, end: int) -> Column:
+    """Bits from start up to but not including end, which must be multiples of 8; null outside the vector."""
+    if start % 8 or end % 8:
+        raise ValueError("bit vectors are cut at multiples of 8")
+    return F.when((F.octet_length(c) * 8 >= end) & F.lit(0 <= start < end), F.substring(c, start // 8 + 1, (end - start) // 8))
+
+
 def vec_slice(c: Column, start: int, end: int) -> Column:
     """Elements from start up to but not including end, counted from 0; null outside the vector."""
     return F.when((F.size(c) >= end) & F.lit(0 <= start < end), F.slice(c, start + 1, end - start))
@@ -99,6 +136,10 @@ def vec_quantize_binary(c: Column, least: bool = False) -> Column:
     return F.when((F.size(c) > 0) & (F.size(c) % 8 == 0), F.unhex(text))
 
 
+def vec_to_json_bit(c: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(bits_of(c).cast("array<string>"), ","), F.lit("]"))
+
+
 def vec_to_json(c: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
 

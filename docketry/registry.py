@@ -18,6 +18,7 @@ from docketry.operators import catalog, citations, fts, fusion, knn, persons, se
 from docketry.plans import api, corpus, indexing
 from docketry.plans.corpus import SYLLABLES, read
 from docketry.plans.text_index import TextIndex
+from docketry.plans.vector_table import VectorTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -301,6 +302,98 @@ def vec_to_json(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", V.vec_to_json(F.col("embedding")).alias("json"))
 
 
+@query("SELECT vec_id, i::INT AS rowid, (embedding[((i // 8) * 8 + 8 - i % 8)::BIGINT] > 0)::INT AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i)")
+def vec_each_bit(spark, sf_dir):
+    """Bit vectors are read from the most bit of each byte on."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(V.vec_each(V.vec_bit(V.vec_quantize_binary(F.col("embedding"))), True)).alias("x"))
+    return e.select("vec_id", "x.rowid", "x.value")
+
+
+@query("SELECT vec_id, '[' || list_aggregate(list_transform(embedding[9:24], lambda x: (x > 0)::INT::VARCHAR), 'string_agg', ',') || ']' AS json, 64 AS n FROM embeddings")
+def vec_slice_bit(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", V.vec_quantize_binary(F.col("embedding")).alias("b"))
+    return e.select("vec_id", V.vec_to_json_bit(V.vec_slice_bit(F.col("b"), 8, 24)).alias("json"), V.vec_length(F.col("b"), True).alias("n"))
+
+
+INT8 = "list_transform({}::DOUBLE[], lambda x: least(greatest(trunc((x + 1.0) / (2.0 / 255.0) - 128.0), -128), 127)::INT)"
+WRAP = "list_sum(list_transform(list_zip({}, list_reverse({})), lambda p: (p[1] {} p[2] + 640) % 256 - 128))::BIGINT"
+
+
+@query(f"SELECT vec_id, {WRAP.format('q', 'q', '+')} AS added, {WRAP.format('q', 'q', '-')} AS subbed FROM (SELECT vec_id, list_transform({INT8.format('embedding')}, lambda x: (x * 5 + 640) % 256 - 128) AS q FROM embeddings)")
+def vec_add_sub_int8(spark, sf_dir):
+    """Sums and differences of bytes wrap."""
+    q = F.transform(V.vec_quantize_int8(F.col("embedding")), lambda x: (F.pmod(x.cast("int") * 5 + 128, F.lit(256)) - 128).cast("tinyint"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", q.alias("q"))
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return e.select("vec_id", whole(V.vec_add_int8(F.col("q"), F.reverse("q"))).alias("added"), whole(V.vec_sub_int8(F.col("q"), F.reverse("q"))).alias("subbed"))
+
+
+def vector_table(spark: SparkSession, sf_dir: str, text: str) -> VectorTable:
+    """A stored table of the embeddings, in two versions: the second moves vectors 10 to 19 and deletes 20 to 29."""
+
+    def make() -> VectorTable:
+        table = VectorTable(spark, scratch(spark, "vectors"), text)
+        e = read(spark, sf_dir, "embeddings")
+        e = e if table.about.kind == "float" else e.withColumn("embedding", V.vec_quantize_binary(F.col("embedding")) if table.about.kind == "bit" else V.vec_quantize_int8(F.col("embedding")))
+        table.append(e, 1)
+        if table.about.kind == "float":
+            table.append(e.where("vec_id between 10 and 19").withColumn("embedding", F.transform("embedding", lambda x: -x)), 2)
+            table.delete(e.where("vec_id between 20 and 29").select("vec_id"), 3)
+        return table
+
+    return stored(spark, sf_dir, text, make)
+
+
+MOVED = "(SELECT vec_id, label, CASE WHEN vec_id BETWEEN 10 AND 19 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id NOT BETWEEN 20 AND 29)"
+
+
+def from_table(spark, sf_dir, text, **more):
+    _, q = asked(spark, sf_dir)
+    return vector_table(spark, sf_dir, text).search(q, 10, **more).select("vec_id", six("dist").alias("dist"))
+
+
+@query(knn_sql("list_distance").replace("FROM embeddings WHERE true)", f"FROM {MOVED} WHERE label = 3)"))
+def stored_partition(spark, sf_dir):
+    """Only the folder of one partition is read; changed and deleted rows count."""
+    return from_table(spark, sf_dir, "embedding float[64], vec_id integer primary key, label integer partition key", among={"label": 3})
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding, list_sum(list_transform(list_zip(embedding, {QUERY}), lambda x: ((x[1] >= 0) != (x[2] >= 0))::INT)) AS h FROM {MOVED} ORDER BY h, vec_id LIMIT 80)
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], {QUERY}), 6) AS dist FROM c ORDER BY list_distance(embedding::DOUBLE[], {QUERY}), vec_id LIMIT 10""")
+def stored_rescore(spark, sf_dir):
+    """Two stages over stored sign bits."""
+    return from_table(spark, sf_dir, "embedding float[64] indexed by rescore(quantizer=bit), vec_id integer primary key, label integer")
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding FROM (SELECT vec_id, embedding, list_distance({INT8.format('embedding')}::DOUBLE[], {INT8.format(QUERY)}::DOUBLE[]) AS d FROM {MOVED}) ORDER BY d, vec_id LIMIT 40)
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], {QUERY}), 6) AS dist FROM c ORDER BY list_distance(embedding::DOUBLE[], {QUERY}), vec_id LIMIT 10""")
+def stored_rescore_int8(spark, sf_dir):
+    return from_table(spark, sf_dir, "embedding float[64] indexed by rescore(quantizer=int8, oversample=4), vec_id integer primary key, label integer")
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding, list_sum(list_transform(list_zip(embedding, {QUERY}), lambda x: ((x[1] >= 0) != (x[2] >= 0))::INT)) AS h FROM {MOVED} ORDER BY h, vec_id LIMIT 200)
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], {QUERY}), 6) AS dist FROM c ORDER BY list_distance(embedding::DOUBLE[], {QUERY}), vec_id LIMIT 10""")
+def stored_approximate(spark, sf_dir):
+    """The approximate index: a search list of 200 over stored codes."""
+    return from_table(spark, sf_dir, "embedding float[64] indexed by diskann(search_list_size=200), vec_id integer primary key, label integer")
+
+
+@query(f"SELECT vec_id, list_sum(list_transform(list_zip(embedding, {QUERY}), lambda x: ((x[1] > 0) != (x[2] > 0))::INT))::INT AS dist FROM embeddings WHERE label < 5 ORDER BY dist, vec_id LIMIT 10")
+def stored_bits(spark, sf_dir):
+    """A table of bit vectors, by hamming distance."""
+    _, q = asked(spark, sf_dir)
+    octets = bytes(sum((q[8 * i + k] > 0) << k for k in range(8)) for i in range(8))
+    return vector_table(spark, sf_dir, "embedding bit[64], vec_id integer primary key, label integer").search(octets, 10, where=F.col("label") < 5)
+
+
+@query(f"SELECT vec_id, round(list_distance({INT8.format('embedding')}::DOUBLE[], {INT8.format(QUERY)}::DOUBLE[]), 6) AS dist FROM embeddings ORDER BY dist, vec_id LIMIT 10")
+def stored_int8(spark, sf_dir):
+    """A table of byte vectors."""
+    e, _ = asked(spark, sf_dir)
+    q = [float(x) for x in e.where("vec_id = 7").select(V.vec_quantize_int8(F.col("embedding")).alias("q")).first().q]
+    return vector_table(spark, sf_dir, "embedding int8[64], vec_id integer primary key, label integer").search(q, 10).select("vec_id", six("dist").alias("dist"))
+
+
 FNV = """list_reduce(list_prepend(40389, list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda h, c: ((h + c) * 403) % 65536)"""
 
 

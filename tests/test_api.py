@@ -1,5 +1,7 @@
 """Commands, stored vector tables, file scans and sinks."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,11 +45,23 @@ def test_vector_table(spark, tmp_path):
     t.delete(spark.createDataFrame([(2,)], "id long"), 3)
     assert [r.id for r in t.search([0.0, 0.0], 5).collect()] == [3, 1]
     assert [r.id for r in t.search([0.0, 0.0], 5, where=F.col("lang") == "ko").collect()] == [1]
-    assert [r.id for r in t.search([0.0, 0.0], 5, within=F.col("dist") < 10).collect()] == [3]
+    pruned = t.search([0.0, 0.0], 5, among={"lang": "ko"})
+    assert [r.id for r in pruned.collect()] == [1] and "lang" in re.search(r"PartitionFilters: \[([^\]]*)", pruned._jdf.queryExecution().toString())[1]
+    with pytest.raises(ValueError, match="move"):
+        t.append(rows([(3, [3.0, 3.0], 7, "c", "ko")]), 4)
+    t.command("compact")
+    assert t.state()[1] == [3] and [r.id for r in t.search([0.0, 0.0], 5).collect()] == [3, 1]
+    t.append(rows([(2, [0.0, 1.0], 6, "b", "en")]), 4)
+    t.append(rows([(2, [0.0, 1.0], 6, "b", "en")]), 4)
+    assert [r.id for r in t.search([0.0, 0.0], 5).collect()] == [2, 3, 1]
+    assert [r.id for r in t.search([0.0, 0.0], 5, within=F.col("dist") < 10).collect()] == [2, 3]
     with pytest.raises(ValueError, match="dimensions"):
         t.search([0.0], 1)
-    with pytest.raises(ValueError):
-        declare("embedding float[9000]")
+    for bad in ("embedding float[9000]", "embedding bit[12]", "embedding bit[8] distance_metric=l2", "embedding float[8] indexed by tree()", "embedding float[8] indexed by rescore(oversample=0)", "embedding float[8], chunk_size=9"):
+        with pytest.raises(ValueError):
+            declare(bad)
+    about = declare("v float[8] indexed by rescore(quantizer=int8, oversample=16), id integer primary key, chunk_size=64")
+    assert (about.quantizer, about.oversample, about.chunk_size) == ("int8", 16, 64)
 
 
 def test_files_and_sinks(spark, tmp_path):
