@@ -571,6 +571,38 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", F.lit(0).alias("toxic"))) is None
 
 
+def test_toxicity_on_labels(spark):
+    """Held-out rows of the labelled documents, and that no held-out label is learned from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    got = registry.QUERIES["op6_toxicity"](spark, sf).join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out]
+    hits = sum(r.predicted == 1 and r.toxic == 1 for r in held)
+    assert hits >= 0.9 * sum(r.toxic == 1 for r in held) and hits >= 0.9 * sum(r.predicted == 1 for r in held), (hits, sum(r.toxic for r in held), sum(r.predicted for r in held))
+    assert len(held) > 500
+    # turning all held-out labels round changes no score
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    keep = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    one, two = (toxicity.fit(docs, x.where(keep)) for x in (labels, turned))
+    assert np.array_equal(one.rows, two.rows) and np.array_equal(one.threshold, two.threshold)
+
+
+def test_toxicity_thresholds_by_language():
+    net, rng = toxicity.Classifier(), np.random.default_rng(3)
+    net.languages, net.threshold = ["de", "en"], np.zeros(3)
+    y = rng.integers(0, 2, 400)
+    lang = rng.integers(0, 2, 400)
+    net.calibrate(np.where(lang == 0, 5.0, -5.0) + np.where(y == 1, 1.0, -1.0), lang, y)
+    assert 4 < net.threshold[0] < 6 and -6 < net.threshold[1] < -4
+
+
+def test_toxicity_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(k, "" if k % 2 else "?! --", "en", k % 2) for k in range(40)], "doc_id long, text string, lang string, toxic int")
+    net = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
+    assert toxicity.score(docs, net).count() == 40
+
+
 # ---- secrets
 
 
