@@ -6,6 +6,7 @@ on the corpus that docketry.plans.corpus makes of them, where the oracle reads t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from docketry.plans import api, corpus, indexing
 from docketry.plans.corpus import SYLLABLES, read
 from docketry.plans.text_index import TextIndex
 from docketry.plans.vector_table import VectorTable
+from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -785,12 +787,8 @@ def ranked_join(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below the session's checkpoint folder, else (tests) a local one."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/docketry"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local session, where all is one machine,
+    may leave it unset; a cluster without it is an error, since tables in a machine's own folder would be lost or split."""
+    name = spark.conf.get("spark.checkpoint.dir", None)
+    if name:
+        return name
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{tempfile.gettempdir()}/docketry"
+
+
 def get_session(app: str = "docketry", cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; on a cluster the caller's own session is used as it is."""
     return (

@@ -139,3 +139,17 @@ def test_cross_reference(spark, rulings):
     assert got["r1"].affinity[0].search_term == "민법" and got["r1"].case_refs == []
     none = citations.cross_reference(rulings.withColumn("raw", F.lit("없음")).withColumn("case_type", F.lit(None).cast("string")), titles).first()
     assert none.resolution == "AffinityFallback" and none.law_matches == [] and none.affinity[0].search_term == "헌법"
+
+
+def test_shared_folder():
+    from docketry.session import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert shared_dir(Session(spark_checkpoint_dir="hdfs://x/y", spark_master="yarn")) == "hdfs://x/y"
+    assert shared_dir(Session(spark_master="local[8]"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(Session(spark_master=master))
