@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.frontmatter import strip_frontmatter
 from docketry.operators import catalog, citations, fusion, persons, segments
 from docketry.plans.indexing import Store
+from docketry.plans.text_index import TextIndex
 
 
 def list_laws(laws: DataFrame, category: str | None = None, department: str | None = None, bookmarks: DataFrame | None = None, newest: bool = False, limit: int | None = None) -> DataFrame:
@@ -20,6 +21,21 @@ def search_laws(laws: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return catalog.title_search(laws, query).orderBy("title", "id").limit(limit)
 
 
+def title_index(spark, root: str, laws: DataFrame) -> TextIndex:
+    """A stored index of titles, categories and departments, for ranked searches."""
+    index = TextIndex(spark, root, {"title": 1.0, "category": 1.0, "departments": 1.0})
+    index.add(laws.select("id", "title", "category", F.array_join("departments", " ").alias("departments")))
+    return index
+
+
+def ranked_titles(index: TextIndex, laws: DataFrame, query: str, category: str | None = None, department: str | None = None, limit: int = 50) -> DataFrame:
+    """(id, bm25, score) of laws by rank; without a hit, those that hold the query in their title, with a score of 0."""
+    kept = catalog.law_filter(laws, category, department)
+    found = index.search(query, limit, among=kept)
+    plain = catalog.title_search(kept, query).orderBy("title", "id").limit(limit).select("id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score"))
+    return found.unionByName(plain.join(found.limit(1).select(F.lit(True).alias("_some")), how="left_anti"))
+
+
 def show(documents: DataFrame, id_: str) -> DataFrame:
     """A document's text without its header."""
     return documents.where(F.col("id") == id_).select("id", strip_frontmatter(F.col("raw")).alias("text"))

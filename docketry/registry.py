@@ -855,22 +855,132 @@ def scan_laws(spark, sf_dir):
     from docketry.sources import files
 
     root = scratch(spark, "tree") + "/kr"
-    rows = corpus.laws(spark, sf_dir).select("title", "raw")
-    write_tree(rows, root)
-    return files.laws(files.markdown(spark, root)).select("id", "title", "category", F.size("departments").alias("n_departments"))
+    write_tree(corpus.laws(spark, sf_dir).select(F.concat("title", F.lit("/법률.md")).alias("path"), "raw"), root)
+    return files.laws(files.collected(files.markdown(spark, root), "laws")).select("id", "title", "category", F.size("departments").alias("n_departments"))
+
+
+def rulings_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, raw): a ruling for each supplier, in two types and two courts, and files that are none."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    kind, level = F.when(F.col("s_suppkey") % 2 == 0, "민사").otherwise("형사"), F.when(F.col("s_suppkey") % 3 == 0, "대법원").otherwise("하급심")
+    head = F.concat(F.lit("---\n사건명: 사건<br/>가  "), k, F.lit("\n사건번호: '"), k, F.lit("다1'\n선고일자: 2001-02-03\n법원명:  법원"), F.col("s_nationkey").cast("string"), F.lit("\n법원등급: "), level, F.lit("\n사건종류: "), kind, F.lit("\n판결유형: 판결\n---\n# 글 "), k)
+    files = s.select(F.concat(kind, F.lit("/"), level, F.lit("/법원"), F.col("s_nationkey").cast("string"), F.lit("_"), k, F.lit(".md")).alias("path"), head.alias("raw"))
+    return files.union(spark.createDataFrame([("README.md", "x"), ("민사/README.md", "x"), ("민사/대법원/더/깊은.md", "---\n사건명: x\n---\n"), ("민사/대법원/글.txt", "x")], "path string, raw string"))
+
+
+@query("""SELECT CASE WHEN s_suppkey % 2 = 0 THEN '민사' ELSE '형사' END || '/대법원/법원' || s_nationkey || '_' || s_suppkey AS id, '사건 가 ' || s_suppkey AS case_name, s_suppkey || '다1' AS case_number, '2001-02-03' AS ruling_date,
+'법원' || s_nationkey AS court_name, '대법원' AS court_level, CASE WHEN s_suppkey % 2 = 0 THEN '민사' ELSE '형사' END AS case_type, '판결' AS ruling_type FROM supplier WHERE s_suppkey % 3 = 0""")
+def scan_rulings(spark, sf_dir):
+    """Rulings of one court level of a tree, by their headers."""
+    from docketry.sources import files
+
+    root = scratch(spark, "rulings")
+    write_tree(rulings_tree(spark, sf_dir), root)
+    return files.rulings(files.collected(files.markdown(spark, root), "rulings", court_level="대법원")).drop("path")
+
+
+@query("SELECT '규칙/' || n_nationkey AS id, '훈령' || n_regionkey AS rule_type, n_name AS agency, '광역' || n_regionkey AS region FROM nation")
+def scan_rules(spark, sf_dir):
+    """Only files of one name, with nested header keys."""
+    from docketry.sources import files
+
+    root, k = scratch(spark, "rules"), F.col("n_nationkey").cast("string")
+    raw = F.concat(F.lit("---\n종류: 훈령"), F.col("n_regionkey").cast("string"), F.lit("\n기관: "), "n_name", F.lit("\n관할:\n  광역: 광역"), F.col("n_regionkey").cast("string"), F.lit("\n---\n글"))
+    n = read(spark, sf_dir, "nation")
+    write_tree(n.select(F.concat(F.lit("규칙/"), k, F.lit("/본문.md")).alias("path"), raw.alias("raw")).union(n.select(F.concat(F.lit("규칙/"), k, F.lit("/별표.md")), F.lit("x"))), root)
+    return files.rules(files.collected(files.markdown(spark, root), "leaves"), {"rule_type": "종류", "agency": "기관", "region": "광역"}).drop("path")
+
+
+@query("""SELECT CASE WHEN s_suppkey % 2 = 0 THEN '민사' ELSE '형사' END AS case_type, CASE WHEN s_suppkey % 3 = 0 THEN '대법원' ELSE '하급심' END AS court_level, '법원' || s_nationkey AS court_name, '법원' || s_nationkey || '_' || s_suppkey AS case_number,
+'사건<br/>가  ' || s_suppkey AS case_name, '2001-02-03' AS ruling_date FROM supplier""")
+def store_catalog(spark, sf_dir):
+    """Catalog rows from the paths and first characters of stored documents."""
+    from docketry.sources import files
+
+    store = indexing.Store(spark, scratch(spark, "rulings-store"))
+    rows = rulings_tree(spark, sf_dir).where("path rlike '_[0-9]+[.]md$'")
+    store.index(rows.select(F.lit("precedents").alias("collection"), "path", F.col("raw").alias("text"), F.octet_length("raw").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime")), 1)
+    return files.catalog_of_store(store.documents(), store.read("content", store.CONTENT)).drop("id")
+
+
+@query("SELECT replace(n_name, '/', '_') || ' (' || n_nationkey || '_' || n_regionkey || ').md' AS file, '# ' || n_name AS raw FROM nation")
+def export_rulings(spark, sf_dir):
+    """A file for each document, named by its name and number."""
+    from docketry.sources import files, sinks
+
+    root, n = scratch(spark, "export"), read(spark, sf_dir, "nation")
+    number = F.concat_ws("/", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"))
+    sinks.export_markdown(n.select(sinks.export_name(F.col("n_name"), number).alias("file"), F.concat(F.lit("# "), "n_name").alias("raw")), root)
+    return files.markdown(spark, root).select(F.col("path").alias("file"), "raw")
+
+
+@query("""SELECT * FROM (VALUES ('hello world', 'hello world'), ('auth -test', 'auth -test'), ('a-b c*', '"a-b" c*'), ('-x-y*', '-"x-y"*'), ('제3조,제4조', '제3조 제4조'), ('법(제5조)', '"법(제5조)"'), ('"q"', '"' || '""q""' || '"')) t(text, query)""")
+def query_strings(spark, sf_dir):
+    """Queries in the syntax of full-text engines."""
+    return spark.createDataFrame([(t, fts.build_query_string(t)) for t in ("hello world", "auth -test", "a-b c*", "-x-y*", "제3조,제4조", "법(제5조)", '"q"')], "text string, query string")
+
+
+@query("""WITH tok AS MATERIALIZED (SELECT p_partkey AS id, p_type, regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+') AS w FROM part),
+cnt AS (SELECT id, p_type, len(w) AS dl, len(list_filter(w, lambda x: x = 'hot')) AS f FROM tok), cor AS (SELECT count(*) AS n, avg(dl) AS a, sum((f > 0)::INT) AS d FROM cnt)
+SELECT id, round(s, 6) AS bm25 FROM (SELECT id, greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM cnt, cor WHERE f > 0 AND list_contains(string_split(p_type, ' '), 'SMALL')) ORDER BY s DESC, id LIMIT 50""")
+def ranked_titles(spark, sf_dir):
+    """Laws by rank in a stored index of titles, categories and departments, held to one department."""
+    laws = parts(spark, sf_dir)
+    index = stored(spark, sf_dir, "titles", lambda: api.title_index(spark, scratch(spark, "titles"), laws))
+    return api.ranked_titles(index, laws, "hot", department="SMALL").select("id", six("bm25").alias("bm25"))
+
+
+def ruling_rows(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("case_type"), F.col("o_orderstatus").alias("court_name"), F.col("o_orderpriority").alias("case_name"), F.col("o_orderkey").cast("string").alias("case_number"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE contains(lower(o_orderpriority), '12') OR contains(o_orderkey::VARCHAR, '12') ORDER BY o_orderpriority, o_orderkey LIMIT 50")
+def search_precedents(spark, sf_dir):
+    """By name or number, the first 50."""
+    return api.search_precedents(ruling_rows(spark, sf_dir), "12").select("id")
+
+
+@query(f"SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT id FROM ({PERSONS}) WHERE name = '박이김') ORDER BY o_orderpriority, o_orderkey LIMIT 20".replace("SELECT DISTINCT", "SELECT"))
+def search_precedents_fallback(spark, sf_dir):
+    """No ruling has the name in its own; those that name the person are found."""
+    return api.search_precedents(ruling_rows(spark, sf_dir), "박이김", people(spark, sf_dir)).select("id")
+
+
+@query(f"SELECT p.id, p.role FROM ({PERSONS}) p JOIN orders ON p.id = o_orderkey WHERE name = '박이김' AND o_orderstatus = 'F' ORDER BY p.id, role LIMIT 20")
+def search_person_filtered(spark, sf_dir):
+    return api.search_person(people(spark, sf_dir), ruling_rows(spark, sf_dir), "박이김", court="F").select("id", "role")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_brand != '' ORDER BY (CASE WHEN p_size % 3 = 0 THEN '' ELSE '2020-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') END) DESC, p_name, p_partkey LIMIT 60")
+def list_laws_newest(spark, sf_dir):
+    """Newest first, those without a date last, then by title."""
+    day = F.when(F.col("size") % 3 == 0, "").otherwise(F.concat(F.lit("2020-"), F.lpad((F.col("size") % 12 + 1).cast("string"), 2, "0")))
+    return api.list_laws(parts(spark, sf_dir).withColumn("promulgation_date", day), newest=True, limit=60).select("id")
+
+
+@query(f"SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total, list_sum({INT8.format('embedding')})::BIGINT AS total8 FROM embeddings")
+def vec_parse(spark, sf_dir):
+    """Vectors read from JSON."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", V.vec_f32(F.to_json("embedding")).alias("f"), V.vec_int8(F.to_json(V.vec_quantize_int8(F.col("embedding")))).alias("i"))
+    return e.select("vec_id", F.round(V.total(F.col("f").cast("array<double>")), 5).alias("total"), F.aggregate("i", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total8"))
+
+
+@query(f"SELECT id, law_name, article, detail, grp FROM ({STATUTES})")
+def statute_refs_strict(spark, sf_dir):
+    return citations.extract_statutes(corpus.rulings(spark, sf_dir), strict=True).select("id", "law_name", "article", "detail", "grp")
 
 
 def write_tree(rows: DataFrame, root: str) -> None:
-    """A file 법률.md for each row (title, raw), in a folder of its title, as a checkout would leave them; written by the executors
-    to a folder that they share."""
+    """A file for each row (path, raw), as a checkout would leave them; written by the executors to a folder that they share."""
 
     def write(part) -> None:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
         for r in part:
-            store.create_dir(f"{base}/{r.title}")
-            with store.open_output_stream(f"{base}/{r.title}/법률.md") as out:
+            store.create_dir(f"{base}/{r.path}".rpartition("/")[0])
+            with store.open_output_stream(f"{base}/{r.path}") as out:
                 out.write(r.raw.encode("utf-8"))
 
     rows.foreachPartition(write)

@@ -23,6 +23,14 @@ def markdown(spark: SparkSession, root: str, pattern: str = "*.md", head: int |
     return rows.where(~F.col("path").rlike(r"(^|/)\.git/|(^|/)README\.md$"))
 
 
+def collected(files: DataFrame, kind: str, case_type: str | None = None, court_level: str | None = None, leaf: str = "본문.md") -> DataFrame:
+    """The files of a kind, in the order of their paths: laws are `kr/{name}/법률.md` (or below kr itself) at that depth only, rulings
+    `{case_type}/{court_level}/*.md` (any if None), leaves the files of one name at any depth."""
+    part = lambda x: r"[^/]+" if x is None else rf"\Q{x}\E"
+    pattern = {"laws": r"^(kr/)?[^/]+/법률\.md$", "rulings": rf"^{part(case_type)}/{part(court_level)}/[^/]+\.md$", "leaves": rf"(^|/)\Q{leaf}\E$"}[kind]
+    return files.where(F.col("path").rlike(pattern)).orderBy("path")
+
+
 def laws(files: DataFrame) -> DataFrame:
     """(id, title, category, departments, two dates, status, path): by path, then what the header has."""
     title, kind = F.regexp_extract("path", "([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.md$", 1)
