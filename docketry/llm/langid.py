@@ -142,11 +142,12 @@ class Network:
 
 def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """A network trained on at most DOCS documents of each language, the first by a hash of their ids, on at most SPREAD windows of
-    FIT_CHARS code points of each; None without any."""
+    FIT_CHARS code points of each, one row for each id and language; None without any."""
     rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), common.excerpt(F.col(text_col), F.col(id_col), FIT_CHARS).alias("t")).where("l is not null and i is not null")
     first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "l").withColumn("k", F.row_number().over(first)).where(F.col("k") <= DOCS).select("i").distinct()
-    got = sorted(map(tuple, rows.where("t is not null").join(F.broadcast(chosen), "i", "left_semi").collect()), key=lambda r: (r[1], r[0], r[2]))
+    chosen = rows.select("i", "l").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= DOCS).select("i").distinct()
+    one = rows.where("t is not null").join(F.broadcast(chosen), "i", "left_semi").groupBy("i", "l").agg(F.min("t").alias("t"))
+    got = sorted(map(tuple, one.collect()), key=lambda r: (r[1], r[0]))
     languages = sorted({r[1] for r in got})
     if not languages:
         return None

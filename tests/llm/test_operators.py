@@ -588,6 +588,23 @@ def test_toxicity_on_labels(spark):
     assert np.array_equal(one.rows, two.rows) and np.array_equal(one.threshold, two.threshold)
 
 
+def test_fits_on_repeated_ids_and_long_texts(spark):
+    """An id of any number of rows, and texts of any length, don't fill the driver or change what is learned."""
+    rng = random.Random(5)
+    words, bad = "stone river cloud letter north under bread music".split(), ["idiot", "scum"]
+    rows = [(i, " ".join(rng.choices(words, k=20) + ([rng.choice(bad)] if i % 3 == 0 else [])), "en" if i % 2 else "de", int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    hot = docs.where("doc_id = 3").crossJoin(spark.range(3000).select()).select(*docs.columns)
+    labels, more = docs.select("doc_id", "toxic"), docs.unionByName(hot)
+    one, two = toxicity.fit(docs, labels), toxicity.fit(more, labels.union(labels))
+    assert np.array_equal(one.rows, two.rows) and np.array_equal(one.threshold, two.threshold)
+    nets = [langid.fit(x) for x in (docs, more)]
+    assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)
+    long = docs.withColumn("text", F.when(F.col("doc_id") == 4, F.repeat("text", 3 * toxicity.FIT_CHARS // 20)).otherwise(F.col("text")))
+    got = toxicity.score(long, toxicity.fit(long, labels)).collect()
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_thresholds_by_language():
     net, rng = toxicity.Classifier(), np.random.default_rng(3)
     net.languages, net.threshold = ["de", "en"], np.zeros(3)
