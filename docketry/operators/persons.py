@@ -30,7 +30,7 @@ def persons_of(raw: Column) -> Column:
         bench = F.regexp_extract(x, "(?s)^(?:대법관|판사)(.*)$", 1)
         after = lambda t: F.regexp_replace(F.regexp_extract(t, r"(?s)^[^(]*\((.*)$", 1), r"\)$", "")
         judges = F.transform(tokens(bench), lambda t: _person(F.regexp_extract(t, r"^[^(]*", 0), "judge", F.when(t.contains("("), after(t))))
-        counsel = F.regexp_extract_all(x, F.lit(r"(?U)변호사\s*((?:(?!변호사)\S)+|(?=변호사))"), F.lit(1))
+        counsel = F.regexp_extract_all(x, F.lit(r"(?U)변호사\s*((?:(?!변호사)\S)++|(?=변호사))"), F.lit(1))
         attorneys = F.transform(counsel, lambda t: _person(F.regexp_replace(F.regexp_extract(t, r"^[^(]*", 0), "[,.，)）]+$", ""), "attorney", F.lit(None)))
         named = F.regexp_extract(bare, "(?s)【검사】(.*)$", 1)
         state = F.transform(F.split(named, "[,，]"), lambda t: _person(F.regexp_extract(trimmed(F.regexp_extract(t, "(?s)^[^외]*", 0)), r"(?U)^\S*", 0), "prosecutor", F.lit(None)))
@@ -46,8 +46,11 @@ def persons_of(raw: Column) -> Column:
     # only lines that can name anyone are looked at
     some = F.filter(lines(strip_frontmatter(raw)), lambda x: x.contains("대법관") | x.contains("판사") | x.contains("변호사") | x.contains("【"))
     every = F.filter(F.flatten(F.transform(some, named_in)), lambda p: is_name(p["name"]))
-    first = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: (q["name"] == p["name"]) & (q["role"] == p["role"])))
-    return bound(every, first)
+    # sorted by name and role, equal ones stand next to each other, the first named first
+    key = lambda p, i: F.struct(p["name"].alias("name"), p["role"].alias("role"), i.alias("i"), p["qualifier"].alias("qualifier"))
+    first = lambda s: F.filter(s, lambda p, i: (i == 0) | (p["name"] != F.get(s, i - 1)["name"]) | (p["role"] != F.get(s, i - 1)["role"]))
+    placed = F.transform(bound(F.array_sort(F.transform(every, key)), first), lambda p: F.struct(p["i"].alias("i"), p["name"].alias("name"), p["role"].alias("role"), p["qualifier"].alias("qualifier")))
+    return F.transform(F.array_sort(placed), lambda p: F.struct(p["name"].alias("name"), p["role"].alias("role"), p["qualifier"].alias("qualifier")))
 
 
 def extract(docs: DataFrame, id_col: str = "id", raw_col: str = "raw") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.frontmatter import lines, strip_frontmatter, trimmed
+from docketry.functions.frontmatter import bound, lines, strip_frontmatter, trimmed
 from docketry.functions.text import plain
 
 HEADINGS = {"article": "##### ", "section": "## "}
@@ -20,14 +20,27 @@ def headings(rows: Column, kind: str) -> Column:
     return F.transform(F.filter(found, good), lambda h: F.struct(trimmed(h["label"]).alias("label"), h["line_index"].cast("int").alias("line_index")))
 
 
-def extract(docs: DataFrame, kind: str, id_col: str = "id", raw_col: str = "raw") -> DataFrame:
-    """(id, idx, label, line_index, text): one row for each heading; text is plain, from it to the next of its kind."""
-    rows = docs.select(id_col, lines(strip_frontmatter(F.col(raw_col))).alias("_l")).withColumn("_h", headings(F.col("_l"), kind))
+def pieces(raw: Column, kind: str, text: bool) -> Column:
+    """Array of (label, line_index[, text]) of a document's headings; text is plain, from each to the next."""
+
+    def cut(d: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(d["h"], i + 1)["line_index"], F.size(d["l"]))
+            own = [plain(F.slice(d["l"], h["line_index"] + 1, end - h["line_index"])).alias("text")] if text else []
+            return F.struct(h["label"].alias("label"), h["line_index"].alias("line_index"), *own)
+
+        return F.transform(d["h"], one)
+
+    return bound(bound(lines(strip_frontmatter(raw)), lambda x: F.struct(x.alias("l"), headings(x, kind).alias("h"))), cut)
+
+
+def extract(docs: DataFrame, kind: str, id_col: str = "id", raw_col: str = "raw", text: bool = True) -> DataFrame:
+    """(id, idx, label, line_index, text): one row for each heading; text (if asked for) is plain, from it to the next of its kind.
+
+    Texts are cut before headings become rows, so that a row carries its own part only and not the document."""
     # an outer explode, because a plain one adds a filter that parses every document a second time
-    rows = rows.select(id_col, "_l", "_h", F.posexplode_outer("_h").alias("idx", "_x")).where("_x is not null")
-    end = F.coalesce(F.try_element_at("_h", (F.col("idx") + 2).cast("int"))["line_index"], F.size("_l"))
-    text = plain(F.slice(F.col("_l"), F.col("_x.line_index") + 1, end - F.col("_x.line_index")))
-    return rows.select(id_col, "idx", F.col("_x.label").alias("label"), F.col("_x.line_index").alias("line_index"), text.alias("text"))
+    rows = docs.select(id_col, F.posexplode_outer(pieces(F.col(raw_col), kind, text)).alias("idx", "_x")).where("_x is not null")
+    return rows.select(id_col, "idx", "_x.*")
 
 
 def at_line(segments: DataFrame, positions: DataFrame, id_col: str = "id") -> DataFrame:

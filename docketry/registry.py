@@ -535,25 +535,25 @@ def full_text(spark, sf_dir):
 @query(f"SELECT id, max(n) FILTER (2 + 3 * (n - 1) <= 6)::INT AS article FROM ({ARTICLES}) GROUP BY id")
 def asof_article(spark, sf_dir):
     docs = corpus.laws(spark, sf_dir)
-    found = segments.at_line(segments.extract(docs, "article"), docs.select("id", F.lit(6).alias("line")))
+    found = segments.at_line(segments.extract(docs, "article", text=False), docs.select("id", F.lit(6).alias("line")))
     return found.select("id", F.regexp_extract("label", "제([0-9]+)조", 1).cast("int").alias("article"))
 
 
 @query(f"SELECT id, n::INT AS article, (n % total + 1)::INT AS next_article, ((n + total - 2) % total + 1)::INT AS prev_article FROM ({ARTICLES})")
 def next_prev_article(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, "제([0-9]+)조", 1).cast("int")
-    return segments.neighbours(segments.extract(corpus.laws(spark, sf_dir), "article")).select("id", number("label").alias("article"), number("next_label").alias("next_article"), number("prev_label").alias("prev_article"))
+    return segments.neighbours(segments.extract(corpus.laws(spark, sf_dir), "article", text=False)).select("id", number("label").alias("article"), number("next_label").alias("next_article"), number("prev_label").alias("prev_article"))
 
 
 @query(f"SELECT id, '제2조 (목적2)' AS label, 5::INT AS line_index FROM ({ARTICLES}) WHERE n = 2")
 def article_by_prefix(spark, sf_dir):
-    return segments.first_starting(segments.extract(corpus.laws(spark, sf_dir), "article"), "제2조")
+    return segments.first_starting(segments.extract(corpus.laws(spark, sf_dir), "article", text=False), "제2조")
 
 
 @query("""SELECT o_orderkey AS id, unnest(['판시사항'] || CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN ['참조조문'] ELSE [] END ||
 CASE WHEN o_orderkey % 4 != 0 THEN ['참조판례'] ELSE [] END || ['판례내용']) AS label FROM orders""")
 def sections(spark, sf_dir):
-    return segments.extract(corpus.rulings(spark, sf_dir), "section").select("id", "label")
+    return segments.extract(corpus.rulings(spark, sf_dir), "section", text=False).select("id", "label")
 
 
 @query("SELECT o_orderkey AS id, '판시사항' || chr(10) || '[1] ' || o_orderstatus AS text FROM orders")

@@ -234,3 +234,20 @@ def test_store_is_incremental(spark, tmp_path):
     store.index(files([("a", "# A\none", 1)]), 3, tombstones=True)
     assert store.count("c") == 1
     assert {r.title for r in store.documents().collect()} == {"A"}
+
+
+def test_long_documents(spark):
+    """Many headings, references, marks and persons in one document: work is linear, and no pattern runs out of stack."""
+    one = lambda raw: spark.createDataFrame([(1, raw)], "id long, raw string")
+    n = 20_000
+    rows = segments.extract(one("".join(f"## 부분{i}\n\n글{i}\n" for i in range(n))), "section").orderBy("idx").collect()
+    assert [(r.label, r.line_index, r.text) for r in rows] == [(f"부분{i}", 3 * i, f"부분{i}\n글{i}") for i in range(n)]
+    parts = ", ".join("가법 제1조 제2항" if i % 1000 == 0 else "제3항" if i % 2 else f"제{i}조" for i in range(n))
+    got = citations.extract_statutes(one(f"## 참조조문\n\n{parts}\n")).orderBy("pos").collect()
+    article = lambda i: "제1조" if i % 1000 == 0 else f"제{i}조"
+    assert [(r.law_name, r.article, r.detail) for r in got] == [("가법", article(i - i % 2), "제3항" if i % 2 else "제2항" if i % 1000 == 0 else None) for i in range(n)]
+    marked = citations.extract_statutes(one(f"## 참조조문\n\n{'[1] ' * 20000}가법 제1조\n"))
+    assert marked.count() == 20000
+    names = [chr(0xAC00 + i % 500) + chr(0xAC00 + i // 500) for i in range(5000)]
+    found = persons.extract(one(f"판사 {' '.join(names + names[::-1])}\n(변호사 {'가' * 50000})\n")).orderBy("pos").collect()
+    assert [r.name for r in found] == names and {r.role for r in found} == {"judge"}
