@@ -381,6 +381,12 @@ def brute_pii(t):
     return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
+def test_base_pii_zeros():
+    """A part of an address may be of any length: int() refuses more than 4300 digits."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"x {zeros}1.2.3.4 {zeros}256.1.1.1") == [(1, 2, 5009)]
+
+
 def test_base_pii():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab@.-+ 1234()9_%é") for _ in range(rng.randint(0, 80))) for _ in range(10000)]
