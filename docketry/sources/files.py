@@ -2,25 +2,126 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.frontmatter import parse_frontmatter, scalar, trimmed, values
 from docketry.functions.text import sanitize_case_name
+from docketry.session import shared_dir
+
+#: Bytes of files that a task holds at a time, and about those that one task reads.
+READ_BYTES, PART_BYTES = 4 << 20, 128 << 20
 
 #: Fixed categories by the name of a law's file.
 CATEGORIES = {"법률": "법률", "시행령": "대통령령", "시행규칙": "부령", "대통령령": "대통령령"}
 
 
+def glob_regex(pattern: str) -> str:
+    """A file name's glob (`*`, `?`, `[a-z]`, `[^a]`, `{a,b}`, escapes) as a regular expression."""
+    out, k, deep = "", 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            k += 1
+            out += re.escape(pattern[k])
+        elif c == "[" and "]" in pattern[k + 2 :]:
+            end = pattern.index("]", k + 2)
+            inner = pattern[k + 1 : end].replace("\\", "\\\\")
+            out += f"[^{inner[1:]}]" if inner[0] in "!^" else f"[{inner}]"
+            k = end
+        elif c in "{}" or (c == "," and deep):
+            deep += {"{": 1, "}": -1, ",": 0}[c]
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += {"*": ".*", "?": "."}.get(c, re.escape(c))
+        k += 1
+    return out
+
+
+def entries(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, is a folder, size, mtime in microseconds, to a millisecond as Spark has it) of what is in a folder; hidden names are left
+    out as by Spark's readers. Local folders are streamed, so one of any number of entries takes no memory."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                if not hidden(e.name):
+                    at = e.stat()
+                    yield e.name, e.is_dir(), at.st_size, at.st_mtime_ns // 1_000_000 * 1000
+    else:
+        for e in store.get_file_info(fs.FileSelector(folder)):
+            if not hidden(e.base_name):
+                yield e.base_name, e.type == fs.FileType.Directory, e.size or 0, (e.mtime_ns or 0) // 1_000_000 * 1000
+
+
+def hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def opened(root: str) -> tuple[object, str]:
+    """A folder's file system and its path there, on the driver or in a task."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
+    return store, base.rstrip("/") or "/"
+
+
+def listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, size, mtime) of the files below root, dealt over tasks. Tasks list the folders, level by level, into the shared folder: the
+    driver holds no entry, however many files there are."""
+    about, where, fits = "path string, folder boolean, size long, mtime long", f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}", re.compile(glob_regex(pattern))
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+        found = ((f"{folder}/{name}" if folder else name, *rest) for b in batches for folder in b.column(0).to_pylist() for name, *rest in entries(store, f"{base}/{folder}") if rest[0] or fits.fullmatch(name))
+        while rows := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["path", "folder", "size", "mtime"])
+
+    level, paths, n_files, n_bytes, folders = spark.createDataFrame([("",)], "path string").coalesce(1), [], 0, 0, 1
+    while folders:
+        paths.append(f"{where}/{len(paths)}")
+        level.mapInArrow(children, about).write.parquet(paths[-1])
+        got = spark.read.schema(about).parquet(paths[-1])
+        folders, n, size = got.agg(F.count_if("folder"), F.count_if(~F.col("folder")), F.coalesce(F.sum(F.when(~F.col("folder"), F.col("size"))), F.lit(0))).first()
+        n_files, n_bytes = n_files + n, n_bytes + size
+        level = got.where("folder").select("path").repartition(max(1, min(spark.sparkContext.defaultParallelism, folders)), "path")
+    tasks = max(min(spark.sparkContext.defaultParallelism, n_files), n_bytes // PART_BYTES + 1)
+    return spark.read.schema(about).parquet(*paths).where("not folder").drop("folder").repartition(tasks, "path")
+
+
 def markdown(spark: SparkSession, root: str, pattern: str = "*.md", head: int | None = None) -> DataFrame:
     """(path, raw, size, mtime): files below root, paths relative to it. head: only so many first bytes. What isn't
-    valid text, as a character that they cut, is replaced. README.md and what is in .git is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    content = F.col("content") if head is None else F.substring("content", 1, head)
-    base = root.rstrip("/").rpartition("/")[2]
-    path = F.regexp_extract("path", f"^.*?/{base}/(.*)$", 1)
-    rows = files.select(path.alias("path"), F.make_valid_utf8(content.cast("string")).alias("raw"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
-    return rows.where(~F.col("path").rlike(r"(^|/)\.git/|(^|/)README\.md$"))
+    valid text, as a character that they cut, is replaced. README.md and what is in .git is left out. Files are listed at once and
+    read by tasks, some megabytes at a time."""
+    from pyarrow import fs
+
+    store, base = opened(root)
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        raise NotADirectoryError(root)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+        for b in batches:
+            start, size, held = 0, 0, []
+            for k, path in enumerate(b.column("path").to_pylist()):
+                with store.open_input_file(f"{base}/{path}") as f:
+                    held.append(f.read(head) if head is not None else f.read())
+                size += len(held[-1])
+                if k + 1 == b.num_rows or size >= READ_BYTES:
+                    yield b.slice(start, len(held)).append_column("content", pa.array(held, pa.binary()))
+                    start, size, held = k + 1, 0, []
+
+    rows = listed(spark, root, pattern).where(~F.col("path").rlike(r"(^|/)\.git/|(^|/)README\.md$"))
+    read = rows.mapInArrow(contents, "path string, size long, mtime long, content binary")
+    return read.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), "size", "mtime")
 
 
 def collected(files: DataFrame, kind: str, case_type: str | None = None, court_level: str | None = None, leaf: str = "본문.md") -> DataFrame:

@@ -82,6 +82,26 @@ def test_files_and_sinks(spark, tmp_path):
     assert (tmp_path / "out" / "one").read_text() == "# t"
 
 
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no entry for each file; deep folders, a folder named as the root, odd names and globs."""
+    root = tmp_path / "kr"
+    raw = {f"법{k}/법률.md": f"---\n제목: 법{k}\n---\n" for k in range(200)} | {"a/kr/c d/e%20f.md": "x", "a/빈.md": "", "a/.git/x.md": "x", ".h/x.md": "x", "_h/x.md": "x", "_k=1/x.md": "y", "a/README.md": "x", "a/b.txt": "x"}
+    for name, body in raw.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body, encoding="utf-8")
+    (root / "empty").mkdir()
+    found = files.markdown(spark, str(root))
+    assert len(found.inputFiles()) < 100
+    want = {k: v for k, v in raw.items() if k.endswith(".md") and not k.endswith(("README.md", "h/x.md", ".git/x.md"))}
+    got = found.collect()
+    assert {r.path: r.raw for r in got} == want and len(got) == len(want)
+    assert all(r.size == len(want[r.path].encode()) and r.mtime == (root / r.path).stat().st_mtime_ns // 1_000_000 * 1000 for r in got)
+    assert sorted(r.path for r in files.markdown(spark, f"file:{root}", "[b-e]?{x,t*}t").collect() + files.markdown(spark, str(root), "{b,c}.t[!y]t").collect()) == ["a/b.txt"] * 2
+    assert files.markdown(spark, str(root / "empty")).count() == 0
+    with pytest.raises(NotADirectoryError):
+        files.markdown(spark, str(root / "gone"))
+
+
 def test_sync_status_reset(spark, tmp_path):
     from docketry.plans.indexing import Store
 
