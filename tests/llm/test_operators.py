@@ -620,6 +620,21 @@ def test_toxicity_thresholds_by_language():
     assert 4 < net.threshold[0] < 6 and -6 < net.threshold[1] < -4
 
 
+def test_toxicity_is_learned_from_all_rows_and_whole_texts(spark, monkeypatch):
+    """Words of few documents among very many, and ones at the end of long texts, are learned; several shards give one model."""
+    rng = random.Random(7)
+    words = "stone river cloud letter north under bread music".split()
+    rows = [(i, " ".join(rng.choices(words, k=6) + (["vermin"] if i % 500 == 1 else ["idiot"] if i % 2 else [])), "en", i % 2) for i in range(7000)]
+    ends = [(i, " ".join(words * 2000) + (" weasel" if i % 2 else ""), "en", i % 2) for i in range(7000, 7060)]
+    docs = spark.createDataFrame(rows + ends, "doc_id long, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 4 << 20)
+    net = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
+    buckets = toxicity.features(pa.array([b"vermin", b"weasel"], pa.large_binary()))
+    assert net.active[buckets[:, -1]].all() and net.languages == ["en"]
+    some = spark.createDataFrame([(1, "stone vermin river"), (2, "cloud weasel letter"), (3, "stone idiot river"), (4, "stone river cloud"), (5, "north letter bread")], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(some, net).orderBy("doc_id").collect()][2:] == [1, 0, 0]
+
+
 def test_toxicity_of_texts_without_words(spark):
     docs = spark.createDataFrame([(k, "" if k % 2 else "?! --", "en", k % 2) for k in range(40)], "doc_id long, text string, lang string, toxic int")
     net = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
