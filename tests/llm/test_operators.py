@@ -2,8 +2,10 @@
 columns with clashing names."""
 
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -635,6 +637,31 @@ def test_toxicity_is_learned_from_all_rows_and_whole_texts(spark, monkeypatch):
     assert [r.predicted for r in toxicity.score(some, net).orderBy("doc_id").collect()][2:] == [1, 0, 0]
 
 
+def test_toxicity_fit_leaves_little_on_disk(spark):
+    """Shuffles and the copies of the model go with the queries that need them; texts are dealt to shards once."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(6000)]
+    rows = [(i, " ".join(rng.choices(words, k=60) + (["idiot"] if i % 2 else [])), "en", i % 2) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4).localCheckpoint()
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tops = [*env.blockManager().diskBlockManager().localDirsString(), spark.sparkContext._temp_dir]
+
+    def megabytes():
+        return sum(f.stat().st_size for top in tops for f in pathlib.Path(top).rglob("*") if f.is_file()) / 1e6
+
+    before = megabytes()
+    net = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
+    assert net.active.sum() > 20_000
+    until = time.time() + 20
+    while megabytes() > before + 1 and time.time() < until:  # files go in the background
+        time.sleep(0.5)
+    assert megabytes() <= before + 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    with common.settings(spark, toxicity.dealt_once(5)):
+        plan = toxicity.labelled(docs, docs.select("doc_id", "toxic"), 5, 5).groupBy("shard").applyInArrow(lambda x: x, "shard int, doc_id long, toxic int, lang string, size long, text binary")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(shard") == 2
+
+
 def test_toxicity_of_texts_without_words(spark):
     docs = spark.createDataFrame([(k, "" if k % 2 else "?! --", "en", k % 2) for k in range(40)], "doc_id long, text string, lang string, toxic int")
     net = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
