@@ -657,9 +657,11 @@ def test_toxicity_fit_leaves_little_on_disk(spark):
         time.sleep(0.5)
     assert megabytes() <= before + 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
-    with common.settings(spark, toxicity.dealt_once(5)):
-        plan = toxicity.labelled(docs, docs.select("doc_id", "toxic"), 5, 5).groupBy("shard").applyInArrow(lambda x: x, "shard int, doc_id long, toxic int, lang string, size long, text binary")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(shard") == 2
+    both = toxicity.labelled(docs, docs.select("doc_id", "toxic"), 5, 5)
+    plan = both.groupBy("shard").applyInArrow(lambda x: x, both.schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
+    held = both.select(F.spark_partition_id().alias("task"), "shard").distinct().collect()
+    assert sorted(tuple(r) for r in held) == [(k, k) for k in range(5)]
 
 
 def test_toxicity_of_texts_without_words(spark):
